@@ -111,3 +111,12 @@ def weighted_median(df: DataFrame, keys: list[str], value: str, weight: str, out
     return counted.groupBy(*keys).agg(
         F.when(F.max("_all") > 0, F.min(F.when(reached, F.col(value)))).alias(out)
     )
+
+
+def group_median(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+    """Exact median per group: the mean of the two middle order statistics."""
+    counted = _counted(df, keys, value)
+    low, high = F.floor((F.col("_all") + 1) / 2), F.floor((F.col("_all") + 2) / 2)
+    holds = lambda k: (F.col("_below") < k) & (k <= F.col("_below") + F.col("_n"))
+    pick = lambda k: F.max(F.when(holds(k), F.col(value)))
+    return counted.groupBy(*keys).agg(((pick(low) + pick(high)) / 2).alias(out))

@@ -23,7 +23,7 @@ def roll(fn: str, c: str, n: int) -> str:
 
 @register("bars_from_trades", "S2 S1", B + "SELECT * FROM bars", "entity region sector ts", "", "open high low close volume", 4)
 def _(spark, sf):
-    return src.clean_bars(v.bars(spark, sf))
+    return src.clean_bars(v.fresh_bars(spark, sf))
 
 
 @register(
@@ -40,7 +40,7 @@ def _(spark, sf):
     "region entity ts", "place", "mom mom_pct",
 )
 def top_momentum_names(spark, sf):
-    df = fx.momentum(v.bars(spark, sf).select("entity", "region", "ts", "close"), (60,))
+    df = fx.momentum(v.fresh_bars(spark, sf).select("entity", "region", "ts", "close"), (60,))
     snap = src.latest_snapshot_rows(df).where(F.col("momentum_60d").isNotNull())
     ranked = percentile_rank(snap, ["region"], ["momentum_60d"])
     return top_k(

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stage_table
 from ..sources.bars import build_bars, weighted_benchmark
 
 
@@ -28,7 +29,7 @@ def with_dims(df: DataFrame) -> DataFrame:
 
 def trades(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_tax",
         F.col("l_shipdate").cast("date").alias("ts"),
     )
     part = table(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("entity"))
@@ -41,20 +42,26 @@ def trades(spark: SparkSession, sf: str) -> DataFrame:
     return li.join(part, li.l_partkey == part.p_partkey).select(
         "entity",
         "ts",
-        (100 + F.sqrt(F.try_divide("l_extendedprice", "l_quantity")) / 2).alias("price"),
-        F.col("l_quantity").alias("qty"),
+        (100 + F.sqrt(F.try_divide("l_extendedprice", "l_quantity")) / 16).alias("price"),
+        (F.col("l_quantity") * (1 + F.col("l_tax"))).alias("qty"),
         seq.alias("seq"),
     )
 
 
-def bars(spark: SparkSession, sf: str) -> DataFrame:
+def fresh_bars(spark: SparkSession, sf: str) -> DataFrame:
+    """Bars computed from the raw tables."""
     return with_dims(build_bars(trades(spark, sf)))
 
 
+def bars(spark: SparkSession, sf: str) -> DataFrame:
+    """The bar table: built from the raw tables once, then read by every panel query."""
+    return stage_table(spark, f"{sf}/bars", lambda: fresh_bars(spark, sf))
+
+
 BARS = """trades AS (
   SELECT p.p_brand AS entity, CAST(l.l_shipdate AS DATE) AS ts,
-         100 + sqrt(l.l_extendedprice / nullif(l.l_quantity, 0)) / 2 AS price,
-         l.l_quantity AS qty, l_orderkey, l_linenumber, l_partkey, l_suppkey
+         100 + sqrt(l.l_extendedprice / nullif(l.l_quantity, 0)) / 16 AS price,
+         l.l_quantity * (1 + l.l_tax) AS qty, l_orderkey, l_linenumber, l_partkey, l_suppkey
   FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey),
 bars0 AS (
   SELECT entity, ts,
@@ -85,12 +92,12 @@ def vix(spark: SparkSession, sf: str) -> DataFrame:
     return (
         table(spark, sf, "orders")
         .groupBy(F.col("o_orderdate").cast("date").alias("ts"))
-        .agg((F.avg("o_totalprice") / 10000).alias("vix"))
+        .agg((F.avg("o_totalprice") / 9973).alias("vix"))
     )
 
 
 VIX = """vix AS (
-  SELECT CAST(o_orderdate AS DATE) AS ts, avg(o_totalprice) / 10000 AS vix
+  SELECT CAST(o_orderdate AS DATE) AS ts, avg(o_totalprice) / 9973 AS vix
   FROM orders GROUP BY CAST(o_orderdate AS DATE))"""
 
 # Which order figures play which macro series.
@@ -112,13 +119,13 @@ def macro_daily(spark: SparkSession, sf: str) -> DataFrame:
                 "o_totalprice")
         .where(F.col("indicator").isNotNull())
         .groupBy("indicator", "obs_date")
-        .agg((F.avg("o_totalprice") / 100000).alias("value"))
+        .agg((F.avg("o_totalprice") / 99991).alias("value"))
     )
 
 
 MACRO_DAILY = """macro_daily AS (
   SELECT CASE left(o_orderpriority, 1) WHEN '1' THEN 'Treasury_10Y' ELSE 'Treasury_2Y' END AS indicator,
-         CAST(o_orderdate AS DATE) AS obs_date, avg(o_totalprice) / 100000 AS value
+         CAST(o_orderdate AS DATE) AS obs_date, avg(o_totalprice) / 99991 AS value
   FROM orders WHERE left(o_orderpriority, 1) IN ('1', '2') GROUP BY 1, 2)"""
 
 
@@ -130,7 +137,7 @@ def macro(spark: SparkSession, sf: str) -> DataFrame:
         "o_orderpriority", "o_totalprice", F.col("o_orderdate").cast("date").alias("d")
     )
     monthly = orders.groupBy("o_orderpriority", F.trunc("d", "month").alias("obs_date")).agg(
-        F.count(F.lit(1)).cast("double").alias("n"), (F.avg("o_totalprice") / 1000).alias("m")
+        F.count(F.lit(1)).cast("double").alias("n"), (F.avg("o_totalprice") / 997).alias("m")
     )
     long_monthly = monthly.select(
         "obs_date",
@@ -142,7 +149,7 @@ def macro(spark: SparkSession, sf: str) -> DataFrame:
         ).alias("s"),
     ).select("s.indicator", "obs_date", "s.value")
     daily = orders.groupBy(F.col("d").alias("obs_date")).agg(
-        (F.avg("o_totalprice") / 10000).alias("v"), F.count(F.lit(1)).cast("double").alias("n")
+        (F.avg("o_totalprice") / 9973).alias("v"), F.count(F.lit(1)).cast("double").alias("n")
     )
     long_daily = daily.select(
         "obs_date",
@@ -166,12 +173,65 @@ macro AS (
   UNION ALL
   SELECT CASE left(o_orderpriority, 1) WHEN '1' THEN 'HY_Spread' WHEN '2' THEN 'CFNAI'
          WHEN '3' THEN 'Initial_Claims' WHEN '4' THEN 'Core_PCE' WHEN '5' THEN 'TGA' END,
-         CAST(date_trunc('month', o_orderdate) AS DATE), avg(o_totalprice) / 1000
+         CAST(date_trunc('month', o_orderdate) AS DATE), avg(o_totalprice) / 997
   FROM orders GROUP BY 1, 2
-  UNION ALL SELECT 'VIX', CAST(o_orderdate AS DATE), avg(o_totalprice) / 10000 FROM orders GROUP BY 2
+  UNION ALL SELECT 'VIX', CAST(o_orderdate AS DATE), avg(o_totalprice) / 9973 FROM orders GROUP BY 2
   UNION ALL SELECT 'WTI', CAST(o_orderdate AS DATE), CAST(count(*) AS DOUBLE) FROM orders GROUP BY 2
   UNION ALL SELECT indicator, obs_date, value FROM macro_daily
   UNION ALL
   SELECT 'Yield_Curve', a.obs_date, a.value - b.value
   FROM macro_daily a JOIN macro_daily b ON a.obs_date = b.obs_date
   WHERE a.indicator = 'Treasury_10Y' AND b.indicator = 'Treasury_2Y')"""
+
+
+# ---------------------------------------------------------------- fundamentals
+def raw_fundamentals(spark: SparkSession, sf: str) -> DataFrame:
+    """Twelve raw fields per brand from the part table; some are text junk on purpose."""
+    p = table(spark, sf, "part")
+    g = p.groupBy(F.col("p_brand").alias("entity")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("p_size").alias("sz"), F.avg("p_retailprice").alias("rp"),
+        F.count_if(F.col("p_type") == "ECONOMY").alias("ec"), F.count_if(F.col("p_type") == "SMALL").alias("sm"),
+    )
+    k = F.regexp_replace("entity", "Brand#", "").cast("int")
+    pe = F.when(k % 7 == 0, "n/a").when(k % 11 == 0, "NaN").otherwise(((F.col("sz") - 24) * 12).cast("string"))
+    fpe = F.when(k % 6 == 0, "Infinity").otherwise((F.col("sz") * 0.8).cast("string"))
+    return g.select(
+        "entity",
+        pe.alias("trailing_pe"),
+        fpe.alias("forward_pe"),
+        F.when(k % 9 != 0, F.col("rp") / 413).alias("price_to_book"),
+        ((F.col("sz") - 20) / 40).alias("roe"),
+        (F.col("sm") / F.col("n")).alias("profit_margin"),
+        F.when(k % 8 != 0, F.col("ec") / F.col("n")).alias("operating_margin"),
+        F.when(k % 5 != 0, 50.0 + 10 * (F.col("n") % 17)).alias("debt_to_equity"),
+        ((F.col("n") - 80) / 80).alias("revenue_growth"),
+        ((F.col("sz") - 25) / 25).alias("earnings_growth"),
+        ((F.col("sz") - 24) * 1009).alias("free_cashflow"),
+        (F.col("rp") * F.col("n") * 10).alias("market_cap"),
+        (k % 2 == 0).alias("dividend_yield"),
+    )
+
+
+def fundamentals(spark: SparkSession, sf: str) -> DataFrame:
+    from ..sources.fundamentals import clean_fundamentals, with_yields
+
+    df = with_yields(clean_fundamentals(raw_fundamentals(spark, sf)))
+    return df.withColumnRenamed("operating_margin", "op_margin")
+
+
+FUND = """fg AS (
+  SELECT p_brand AS entity, count(*) AS n, avg(p_size) AS sz, avg(p_retailprice) AS rp,
+         count(*) FILTER (p_type = 'ECONOMY') AS ec, count(*) FILTER (p_type = 'SMALL') AS sm,
+         CAST(replace(p_brand, 'Brand#', '') AS INTEGER) AS k FROM part GROUP BY p_brand),
+f0 AS (
+  SELECT entity, CASE WHEN k % 7 <> 0 AND k % 11 <> 0 THEN (sz - 24) * 12 END AS trailing_pe,
+         CASE WHEN k % 6 <> 0 THEN sz * 0.8 END AS forward_pe, CASE WHEN k % 9 <> 0 THEN rp / 413 END AS price_to_book,
+         (sz - 20) / 40 AS roe, sm / n AS profit_margin, CASE WHEN k % 8 <> 0 THEN ec / n END AS op_margin,
+         CASE WHEN k % 5 <> 0 THEN 50.0 + 10 * (n % 17) END AS debt_to_equity, (n - 80) / 80 AS revenue_growth,
+         (sz - 25) / 25 AS earnings_growth, (sz - 24) * 1009 AS free_cashflow, rp * n * 10 AS market_cap FROM fg),
+fund AS (
+  SELECT *, CASE WHEN trailing_pe > 0 AND trailing_pe < 1000 THEN round_even(1 / trailing_pe, 4) END AS earnings_yield,
+         CASE WHEN forward_pe > 0 AND forward_pe < 1000 THEN round_even(1 / forward_pe, 4) END AS fwd_earnings_yield,
+         CASE WHEN price_to_book > 0 THEN round_even(1 / price_to_book, 4) END AS book_yield,
+         CASE WHEN market_cap > 0 AND free_cashflow <> 0 THEN round_even(free_cashflow / market_cap, 4) END AS fcf_yield
+  FROM f0)"""

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,7 +41,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder (survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back.
+
+    Later stages then start from files: lost executors never replay the
+    upstream joins, several consumers share one computation, and Catalyst sees
+    true sizes and can prune columns.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_TABLES: dict[tuple[str, str], DataFrame] = {}
+
+
+def stage_table(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table computed once per application and shared by its readers."""
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _TABLES:
+        _TABLES[key] = cut_lineage(build(), name.rsplit("/", 1)[-1])
+    return _TABLES[key]
