@@ -214,3 +214,13 @@ def rotation(bars: DataFrame, benchmark: DataFrame, on: list[str], mean_rows: in
         "ret_1m_pct",
         "ret_3m_pct",
     )
+
+
+def detail_table(diagnosed: DataFrame) -> DataFrame:
+    """Per-entity detail row; momentum is scaled to percent only here."""
+    keep = [c for c in ("volume_surge", "model_score") if c in diagnosed.columns]
+    return diagnosed.select(
+        "entity", "region", F.col("ts").alias("as_of"), "regime", "last_close", "ma50", "ma200", "rsi14",
+        "realized_vol", "max_drawdown_252d", "rel_momentum", "pct_52w_high",
+        F.bround(F.col("mom60") * 100, 1).alias("mom60_pct"), "risk_flags", *keep,
+    )
