@@ -20,7 +20,11 @@ def event_bars(
     there is no quantity.
     """
     df = events.withWatermark(ts, delay) if events.isStreaming else events
-    order = F.struct(ts, sequence) if sequence else F.col(ts)
+    order = F.unix_micros(ts)
+    if sequence:
+        # Time, then sequence, as one exact number: the buffers stay fixed-width.
+        order = order.cast("decimal(38,0)") * F.lit(10**18).cast("decimal(19,0)") + F.col(sequence)
+        order = order.cast("decimal(38,0)")
     volume = F.sum(qty) if qty else F.count(F.lit(1))
     return (
         df.groupBy(F.col(entity).alias("entity"), F.window(ts, window).alias("_w"))
