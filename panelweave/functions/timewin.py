@@ -70,37 +70,42 @@ def with_position(df: DataFrame, keys=ENTITY, ts: str = "ts", name: str = "pos")
 EWM_BLOCK = 1024
 
 
-def ewm_mean(df: DataFrame, source: str, span: int, out: str, keys=ENTITY, ts="ts") -> DataFrame:
-    """Adjusted exponential mean in O(rows), without collecting a frame.
+def with_blocks(df: DataFrame, size: int = EWM_BLOCK, keys=ENTITY, ts: str = "ts") -> DataFrame:
+    """Row position along the time axis cut into blocks: ``_blk`` and the slot inside it.
 
-    Inside a block the weighted sum is a plain running sum of x * d**-i scaled
-    back by d**i.  The only carry needed is the total of the previous block,
-    since older blocks weigh less than one unit in the last place.  Needs the
-    ``pos`` column of ``with_position``.
+    Windows that order by (_blk, ts) share one sort with windows inside a block.
     """
-    if not 4 <= span <= 55:
-        raise ValueError("spans outside 4..55 need another EWM_BLOCK")
-    d = 1.0 - 2.0 / (span + 1.0)
-    slot = (F.col("pos") - 1) % EWM_BLOCK
-    df = df.withColumn("_slot", slot).withColumn(
-        "_blk", F.floor((F.col("pos") - 1) / EWM_BLOCK)
+    df = df if "pos" in df.columns else with_position(df, keys, ts)
+    return df.withColumns(
+        {"_slot": (F.col("pos") - 1) % size, "_blk": F.floor((F.col("pos") - 1) / size)}
     )
-    inside = (
-        Window.partitionBy(*keys, "_blk").orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    up = F.pow(F.lit(d), -F.col("_slot"))
-    down = F.pow(F.lit(d), F.col("_slot"))
-    known = F.col(source).isNotNull()
-    df = df.withColumn("_num", F.sum(F.when(known, F.col(source) * up)).over(inside) * down)
-    df = df.withColumn("_den", F.sum(F.when(known, up)).over(inside) * down)
-    # Previous block's total: the value on its last row, carried forward.
-    before = axis(keys, ts).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def ewm_mean(df: DataFrame, means: dict[str, tuple[str, int]], keys=ENTITY, ts="ts") -> DataFrame:
+    """Adjusted exponential means in O(rows), without collecting a frame.
+
+    ``means`` maps an output column to (source, span).  Inside a block the
+    weighted sum is a plain running sum of x * d**-i scaled back by d**i.  The
+    only carry needed is the total of the previous block, since older blocks
+    weigh less than one unit in the last place.  Needs ``with_blocks``.
+    """
+    inside = Window.partitionBy(*keys, "_blk").orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("_blk", ts).rowsBetween(Window.unboundedPreceding, -1)
     at_end = F.col("_slot") == EWM_BLOCK - 1
-    pick = lambda c: F.last(F.when(at_end, F.coalesce(F.col(c), F.lit(0.0))), ignorenulls=True)
-    decay = down * d
-    num = F.coalesce(F.col("_num"), F.lit(0.0)) + F.coalesce(pick("_num").over(before), F.lit(0.0)) * decay
-    den = F.coalesce(F.col("_den"), F.lit(0.0)) + F.coalesce(pick("_den").over(before), F.lit(0.0)) * decay
-    return df.withColumn(out, ratio(num, den)).drop("_slot", "_blk", "_num", "_den")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    local, final = {}, {}
+    for out, (source, span) in means.items():
+        if not 4 <= span <= 55:
+            raise ValueError("spans outside 4..55 need another EWM_BLOCK")
+        d = F.lit(1.0 - 2.0 / (span + 1.0))
+        up, down = F.pow(d, -F.col("_slot")), F.pow(d, F.col("_slot"))
+        known = F.col(source).isNotNull()
+        local[f"_n_{out}"] = zero(F.sum(F.when(known, F.col(source) * up)).over(inside)) * down
+        local[f"_d_{out}"] = zero(F.sum(F.when(known, up)).over(inside)) * down
+        # The previous block's total sits on its last row and is carried forward.
+        carried = lambda c: zero(F.last(F.when(at_end, F.col(c)), ignorenulls=True).over(before)) * down * d
+        final[out] = ratio(F.col(f"_n_{out}") + carried(f"_n_{out}"), F.col(f"_d_{out}") + carried(f"_d_{out}"))
+    return df.withColumns(local).withColumns(final).drop(*local)
 
 
 def rolling_drawdown(

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import TRADING_DAYS, change, col, ratio
+from ..functions.stats import TRADING_DAYS, change, ratio
 from ..functions.timewin import (
-    axis, back, ewm_mean, ffill, full, pct_change, roll_max, roll_mean, roll_min, roll_std,
-    with_position,
+    axis, back, ewm_mean, ffill, pct_change, roll_max, roll_mean, roll_min, roll_std,
+    with_blocks,
 )
 
 # Daily series that are public the same day and may become features.
@@ -135,12 +135,12 @@ def rsi(df: DataFrame, periods=RSI_PERIODS) -> DataFrame:
 
 
 def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    df = with_position(df)
-    df = ewm_mean(df, "close", fast, "_fast")
-    df = ewm_mean(df, "close", slow, "_slow")
+    df = ewm_mean(with_blocks(df), {"_fast": ("close", fast), "_slow": ("close", slow)})
     df = df.withColumn("macd", F.col("_fast") - F.col("_slow"))
-    df = ewm_mean(df, "macd", signal, "macd_signal")
-    return df.withColumn("macd_diff", F.col("macd") - F.col("macd_signal")).drop("_fast", "_slow", "pos")
+    df = ewm_mean(df, {"macd_signal": ("macd", signal)})
+    return df.withColumn("macd_diff", F.col("macd") - F.col("macd_signal")).drop(
+        "_fast", "_slow", "_slot", "_blk", "pos"
+    )
 
 
 def bollinger(df: DataFrame, n: int = 20, k: float = 2.0) -> DataFrame:

@@ -33,12 +33,9 @@ def trades(spark: SparkSession, sf: str) -> DataFrame:
         F.col("l_shipdate").cast("date").alias("ts"),
     )
     part = table(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("entity"))
-    # One exact numeric key orders the trades of a day: order, line, part, supplier.
-    digits = lambda c, n: F.lpad(F.col(c).cast("string"), n, "0")
-    seq = F.concat(
-        F.col("l_orderkey").cast("string"), digits("l_linenumber", 2),
-        digits("l_partkey", 11), digits("l_suppkey", 10),
-    ).cast("decimal(38,0)")
+    # One long orders the trades of a day: order, line (the key of a line), then a
+    # residue of part and supplier, since these tables repeat some keys.
+    seq = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1048576 + (F.col("l_partkey") * 31 + F.col("l_suppkey")) % 1048576
     return li.join(part, li.l_partkey == part.p_partkey).select(
         "entity",
         "ts",
@@ -65,9 +62,9 @@ BARS = """trades AS (
   FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey),
 bars0 AS (
   SELECT entity, ts,
-         arg_min(price, (l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS open,
+         arg_min(price, (l_orderkey, l_linenumber, (l_partkey * 31 + l_suppkey) % 1048576)) AS open,
          max(price) AS high, min(price) AS low,
-         arg_max(price, (l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS close,
+         arg_max(price, (l_orderkey, l_linenumber, (l_partkey * 31 + l_suppkey) % 1048576)) AS close,
          sum(qty) AS volume
   FROM trades GROUP BY entity, ts),
 bars AS (
