@@ -7,7 +7,7 @@ group is bounded by the calendar) and looked up as of each date afterwards.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.dates import bday_add
@@ -83,13 +83,17 @@ def asof_release(macro: DataFrame, indicators: DataFrame, asofs: DataFrame) -> D
 
 
 # ------------------------------------------------------------------ transforms
-W_I = Window.partitionBy("indicator").orderBy("obs_date")
-SO_FAR = W_I.rowsBetween(Window.unboundedPreceding, 0)
+def by_indicator() -> WindowSpec:
+    return Window.partitionBy("indicator").orderBy("obs_date")
+
+
+def so_far() -> WindowSpec:
+    return by_indicator().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def collapse_repeats(macro: DataFrame) -> DataFrame:
     """Keep value changes only (a forward-filled frame back to its observations)."""
-    prev = F.lag("value").over(W_I)
+    prev = F.lag("value").over(by_indicator())
     return (
         macro.where(F.col("value").isNotNull())
         .withColumn("_prev", prev)
@@ -99,8 +103,8 @@ def collapse_repeats(macro: DataFrame) -> DataFrame:
 
 
 def _expanding_z(c: str) -> Column:
-    n, sd = F.count(c).over(SO_FAR), F.stddev_pop(c).over(SO_FAR)
-    return F.when(n >= 24, F.try_divide(F.col(c) - F.avg(c).over(SO_FAR), F.nullif(sd, F.lit(0.0))))
+    n, sd = F.count(c).over(so_far()), F.stddev_pop(c).over(so_far())
+    return F.when(n >= 24, F.try_divide(F.col(c) - F.avg(c).over(so_far()), F.nullif(sd, F.lit(0.0))))
 
 
 def expanding_z(macro: DataFrame) -> DataFrame:
@@ -110,12 +114,12 @@ def expanding_z(macro: DataFrame) -> DataFrame:
 
 def _stepped(n: Column, c: str, long_step: int) -> Column:
     """The value a step back: long_step rows in a long series, else up to three."""
-    at = lambda k: F.lag(c, k).over(W_I)
+    at = lambda k: F.lag(c, k).over(by_indicator())
     return F.when(n > 400, at(long_step)).when(n >= 4, at(3)).when(n == 3, at(2)).when(n == 2, at(1))
 
 
 def _full_mean(c: str, k: int) -> Column:
-    frame = W_I.rowsBetween(-(k - 1), 0)
+    frame = by_indicator().rowsBetween(-(k - 1), 0)
     return F.when(F.count(c).over(frame) == k, F.avg(c).over(frame))
 
 
@@ -125,15 +129,15 @@ def macro_transform(macro: DataFrame, indicators: DataFrame, collapse: bool = Tr
     Repeated values carry the reading of the change they repeat.
     """
     df = macro.where(F.col("value").isNotNull()).join(indicators.select("indicator", "method"), "indicator")
-    df = df.withColumn("_prev", F.lag("value").over(W_I))
+    df = df.withColumn("_prev", F.lag("value").over(by_indicator()))
     fresh = F.col("_prev").isNull() | (F.col("value") != F.col("_prev"))
     df = df.withColumn("_fresh", fresh if collapse else F.lit(True)).drop("_prev")
 
     s = df.where("_fresh").drop("_fresh")
-    lag = lambda c, k: F.lag(c, k).over(W_I)
+    lag = lambda c, k: F.lag(c, k).over(by_indicator())
     s = s.withColumns(
         {
-            "_n": F.count(F.lit(1)).over(SO_FAR),
+            "_n": F.count(F.lit(1)).over(so_far()),
             "_diff": F.col("value") - lag("value", 1),
             "_yoy": change("value", lag("value", 12)) * 100,
             "_g13": change("value", lag("value", 13)) * 100,
@@ -187,7 +191,7 @@ def macro_transform(macro: DataFrame, indicators: DataFrame, collapse: bool = Tr
     reading = F.struct("transformed", "change", "z", "annualized_3m", "direction")
     s = s.select("indicator", "obs_date", reading.alias("_r"))
     out = df.join(s, ["indicator", "obs_date"], "left") if collapse else df.join(s, ["indicator", "obs_date"])
-    out = out.withColumn("_r", F.last("_r", ignorenulls=True).over(SO_FAR))
+    out = out.withColumn("_r", F.last("_r", ignorenulls=True).over(so_far()))
     return out.select("indicator", "obs_date", "value", "_r.*")
 
 
@@ -307,6 +311,6 @@ def risk_budget(regimes: DataFrame) -> DataFrame:
 def macro_panel(macro: DataFrame, rows: int = 21) -> DataFrame:
     """Display panel: latest value, level change and percent change over 21 observations."""
     df = macro.where(F.col("value").isNotNull())
-    base = F.lag("value", rows).over(W_I)
-    df = df.select("*", (F.col("value") - base).alias("change_21"), (change("value", base) * 100).alias("pct_change_21"), F.lead("obs_date").over(W_I).alias("_next"))
+    base = F.lag("value", rows).over(by_indicator())
+    df = df.select("*", (F.col("value") - base).alias("change_21"), (change("value", base) * 100).alias("pct_change_21"), F.lead("obs_date").over(by_indicator()).alias("_next"))
     return df.where(F.col("_next").isNull()).drop("_next")

@@ -222,7 +222,7 @@ def _(spark, sf):
 def gauges(spark, sf):
     """One row per as-of date with each gauge's newest value; two rates stand in for the KR ones."""
     m = macro(spark, sf)
-    w = rg.W_I
+    w = rg.by_indicator()
     m = m.withColumn("chg", (F.col("value") / F.nullif(F.lag("value", 21).over(w), F.lit(0.0)) - 1) * 100)
     seen = rg.asof_visible(m, asofs(spark, sf), F.col("obs_date"))
     at = lambda n, c="value": F.max(F.when(F.col("indicator") == n, F.col(c)))

@@ -23,7 +23,7 @@ def bars(spark, closes, start="2024-01-01", volume=1000.0, region="US", sector="
 
 def walk(n, drift=0.0, vol=0.015, seed=1):
     rng = np.random.default_rng(seed)
-    return list(100 * np.exp(np.cumsum(rng.normal(drift, vol, n))))
+    return [float(x) for x in 100 * np.exp(np.cumsum(rng.normal(drift, vol, n)))]
 
 
 def by(df, *keys):
