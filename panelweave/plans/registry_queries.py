@@ -13,8 +13,8 @@ from ..sources import bars as src
 from ..sources import export as ex
 from . import views as v
 from .catalog import register
-from .crosssection_queries import picks, rows
-from .feature_queries import B, W
+from .crosssection_queries import PICKS, picks
+from .feature_queries import B
 
 NOW = "2025-01-01 00:00:00"
 
@@ -265,7 +265,11 @@ def gated_picks(spark, sf):
     return p.join(gt.block_reasons(runs(spark, sf)).select("as_of", "blocked"), "as_of")
 
 
-@register("withheld_picks", "G2", None, "as_of region entity blocked", "pick", "alpha")
+@register(
+    "withheld_picks", "G2",
+    f"""WITH {PICKS}, {RUNS} --final SELECT p.as_of, p.region, p.entity, g.reasons <> '' AS blocked, CASE WHEN g.reasons = '' THEN p.pick END AS pick, p.alpha FROM picks p JOIN gated g ON g.as_of = p.as_of""",
+    "as_of region entity blocked", "pick", "alpha",
+)
 def _(spark, sf):
     p = gated_picks(spark, sf)
     return gt.withhold(p, F.col("blocked"))
@@ -339,7 +343,11 @@ def _(spark, sf):
     return ex.load_prior_state(states(spark, sf), "1.0", "scoring-1").withColumn("holdings", F.array_join("holdings", ","))
 
 
-@register("state_snapshot", "S10 G5", None, "region data_mode holdings schema_version")
+@register(
+    "state_snapshot", "S10 G5",
+    f"""WITH {PICKS} --final SELECT region, 'live' AS data_mode, string_agg(entity, ',' ORDER BY pick) AS holdings, '1.0' AS schema_version FROM picks WHERE as_of = (SELECT max(as_of) FROM picks) GROUP BY region""",
+    "region data_mode holdings schema_version",
+)
 def _(spark, sf):
     p = picks(spark, sf)
     last = p.select(F.max("as_of")).scalar()
