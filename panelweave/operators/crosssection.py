@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranks import percentile_rank
-from ..functions.stats import TRADING_DAYS, change, clip, col, present, ratio, row_mean
+from ..functions.stats import TRADING_DAYS, change, clip, present, ratio, row_mean
 from ..functions.timewin import back, with_position
 from ..session import cut_lineage
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import bday_add, bday_count
 from ..functions.ranks import average_rank
-from ..functions.stats import change, ratio
+from ..functions.stats import change
 from ..functions.timewin import axis
 
 HORIZONS = (21, 63, 126, 252)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranks import group_median
-from ..functions.stats import TRADING_DAYS, clip, ratio
-from ..functions.timewin import back, pct_change, roll_std
+from ..functions.stats import TRADING_DAYS, clip
+from ..functions.timewin import pct_change, roll_std
 from .diagnosis import trailing_return
 
 TARGET_VOL_PCT = 12.0

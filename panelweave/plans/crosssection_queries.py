@@ -9,14 +9,13 @@ from ..operators import diagnosis as dg
 from ..operators import portfolio as pf
 from ..operators import selection as sel
 from ..functions.ranks import percentile_rank
-from ..functions.timewin import with_position
 from ..session import stage_table
 from ..sources import bars as src
 from ..sources import fundamentals as fnd
 from . import views as v
 from .catalog import register
 from .diagnosis_queries import DIAG, ENTRYF, features
-from .feature_queries import B, W
+from .feature_queries import W
 
 FIELDS = ["earnings_yield", "fwd_earnings_yield", "book_yield", "fcf_yield", "roe", "op_margin",
           "profit_margin", "earnings_growth", "debt_to_equity"]

@@ -10,7 +10,7 @@ from ..session import stage_table
 from ..sources import bars as src
 from . import views as v
 from .catalog import register
-from .feature_queries import B, BJ, FILL, GAIN, W, roll, rsi_sql
+from .feature_queries import B, BJ, FILL, W, roll, rsi_sql
 
 # The part of the feature panel the readings use.
 FEATS = f"""{v.BARS}, {v.BENCH}, {BJ},

@@ -9,12 +9,11 @@ from ..operators import market as mk
 from ..operators import regime as rg
 from ..session import stage_table
 from ..sources import bars as src
-from ..sources.macro import derive_spread, melt_macro
+from ..sources.macro import melt_macro
 from . import views as v
 from .catalog import register
-from .crosssection_queries import rows  # noqa: F401  (keeps module order explicit)
 from .diagnosis_queries import DIAG, features
-from .feature_queries import B, W, roll
+from .feature_queries import W, roll
 
 I = "OVER (PARTITION BY indicator ORDER BY obs_date)"
 IR = "OVER (PARTITION BY indicator ORDER BY obs_date ROWS BETWEEN {n} PRECEDING AND CURRENT ROW)"

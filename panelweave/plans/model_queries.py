@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import features as fx
 from ..operators import models as md
 from ..operators import quality as ql

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import clip, shrink
 from ..functions.timewin import pct_change
-from ..operators import crosssection as cx
 from ..operators import diagnosis as dg
 from ..operators import features as fx
 from ..operators import ledger as lg
@@ -17,9 +16,9 @@ from ..session import stage_table
 from ..sources import bars as src
 from . import views as v
 from .catalog import register
-from .crosssection_queries import RR, RR_KEEP, rows
+from .crosssection_queries import RR, rows
 from .diagnosis_queries import DIAG, FEATS_L, features
-from .feature_queries import B, W
+from .feature_queries import W
 from .macro_queries import bday_sql
 
 # ------------------------------------------------------------------ predictions

@@ -58,7 +58,7 @@ wv AS (SELECT d.*, s.institution, s.weight * CASE WHEN s.ir THEN 0.25 ELSE 1 END
 
 
 def classified(spark, sf):
-    return cs.classify_views(opinions(spark, sf), NOW)
+    return cs.classify_views(opinions(spark, sf), NOW + "Z")
 
 
 @register("view_status", "A29", f"WITH {OPS} --final SELECT * FROM cl", "id status", "age_days")

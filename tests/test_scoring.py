@@ -7,7 +7,7 @@ from panelweave.operators import portfolio as pf
 from panelweave.operators import regime as rg
 from panelweave.operators import selection as sel
 from panelweave.session import cut_lineage
-from tests.util import bars, bdays, date, walk
+from tests.util import bdays, date, walk
 
 D = date("2024-06-28")
 INPUTS = ["mom_12_1", "mom_6m", "earnings_yield", "fwd_earnings_yield", "book_yield", "fcf_yield", "roe", "op_margin",
