@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import rules
+from . import fmindex, lpf, rules
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         (~rules.verdict(F.col("fail_bits"), "base")).alias("base_failed"),
         rules.verdict(F.col("fail_bits"), "v1").alias("kept"),
     )
+
+
+@query("op6_suffix_array_dedup")
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of 50-byte strings that also start in an earlier document, removed."""
+    cut = lpf.dedup_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select(
+        "doc_id", F.col("n_symbols").alias("n_bytes"), "n_removed", F.size("runs").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+@query("op9_substring_dedup")
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of 20-word windows that also start earlier, removed."""
+    cut = fmindex.dedup_words(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", F.col("n_symbols").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
