@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fmindex, lpf, rules, simhash
+from . import fmindex, lpf, mixing, packing, rules, simhash
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,24 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.near_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def tokenizer_path() -> str:
+    """The tokenizer file, installed with its package on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op2_harmonic_packing")
+def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2048 tokens."""
+    pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op3_source_mixing")
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents drawn for the target weights, once per epoch that reads them."""
+    drawn = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return drawn.select("doc_id", *mixing.leaf_columns(), "epoch", "n_tokens")
