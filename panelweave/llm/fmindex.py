@@ -108,7 +108,7 @@ def earlier_matches(shard: Shard, p: Passages) -> np.ndarray:
     return out
 
 
-WORDS = Passages(WINDOW_WORDS, GRAM_WORDS, words=True, within=True, match=earlier_matches)
+WORDS = Passages(WINDOW_WORDS, GRAM_WORDS, GRAM_WORDS, words=True, within=True, match=earlier_matches)
 
 
 def dedup_words(docs: DataFrame, p: Passages = WORDS) -> DataFrame:

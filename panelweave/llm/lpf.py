@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from .passages import Passages, Shard, remove_repeats
 
 WINDOW_BYTES = 50
-#: Bytes of an anchor: fewer make fewer anchors, more make them rarer by chance.
-GRAM_BYTES = 16
+#: Bytes of an anchor, and of the grams that place it: longer anchors meet less often by chance.
+GRAM_BYTES, PICK_BYTES = 28, 6
 
 
 def _words8(data: np.ndarray, depth: int) -> np.ndarray:
@@ -68,7 +68,7 @@ def earlier_matches(shard: Shard, p: Passages) -> np.ndarray:
     return out
 
 
-BYTES = Passages(WINDOW_BYTES, GRAM_BYTES, words=False, within=False, match=earlier_matches)
+BYTES = Passages(WINDOW_BYTES, GRAM_BYTES, PICK_BYTES, words=False, within=False, match=earlier_matches)
 
 
 def dedup_bytes(docs: DataFrame, p: Passages = BYTES) -> DataFrame:

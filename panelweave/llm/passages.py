@@ -1,7 +1,8 @@
 """Repeated passages over a whole corpus: every window of L symbols that also starts earlier.
 
-Symbols are bytes or words.  Each window is owned by its anchor, the gram of ``gram`` symbols
-inside it whose hash is smallest (leftmost on ties), so equal windows have equal anchors:
+Symbols are bytes or words.  Exact copies of a whole text are settled first, by digest.  In the
+other texts each window is owned by its anchor, a gram of ``gram`` symbols inside it that only the
+window's content picks, so equal windows have equal anchors:
 
 1. every text reports its anchors' hashes once per chunk; the hashes that more than one
    document (or place) reports are found in one shuffle by hash;
@@ -13,8 +14,9 @@ inside it whose hash is smallest (leftmost on ties), so equal windows have equal
    single windows, so no anchor ever has to fit one task;
 4. covered windows go back to their documents as ranges.
 
-Texts are shuffled by document; what else moves is proportional to the anchors, about
-2 / (L - gram) of the symbols, and to the repeated passages.
+Texts are shuffled by document once, and that exchange is read again by every step; what else
+moves is proportional to the anchors, a fifteenth of the bytes or an eighth of the words, and to
+the repeated passages.
 """
 
 from __future__ import annotations
@@ -36,6 +38,19 @@ SHARD_BYTES = 2 << 20
 GROUP_BYTES = 6 << 20
 
 
+#: Tags that tell apart texts which share an id.
+TAGS = 1 << 20
+
+
+def _pack(start, tid, owned):
+    """First window, tag and number of windows (under 64) in one long, in this order."""
+    return (start * TAGS + tid) * 64 + owned
+
+
+def _unpack(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return at // (64 * TAGS), at // 64 % TAGS, at % 64
+
+
 @dataclass(frozen=True)
 class Shard:
     """Contexts that meet: their symbols end to end, and each one's place in document order."""
@@ -51,13 +66,17 @@ class Shard:
 class Passages:
     """What counts as repeated.
 
-    window, gram: symbols of a window and of an anchor.  words: symbols are words, else bytes.
+    window, gram: symbols of a window and of an anchor.  pick: symbols of the smaller grams of
+    which the one with the least hash places the anchor; its place modulo the window's number of
+    grams counts, which makes fewer anchors than picking among the grams themselves, or the same
+    if pick = gram.  words: symbols are words, else bytes.
     within: earlier places of the same document count too.  match: the windows of a shard, in
     order of context and start, that also start earlier in it.
     """
 
     window: int
     gram: int
+    pick: int
     words: bool
     within: bool
     match: Callable[[Shard, Passages], np.ndarray]
@@ -96,32 +115,37 @@ def symbols(column, words: bool) -> Symbols:
     return Symbols(spaced, at, at + (ends - starts), first, prefix_hash(hashes))
 
 
-def anchors(s: Symbols, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(s: Symbols, p: Passages) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each anchor: its hash, its text's row, the first window that it owns, and how many."""
-    n = len(s.prefix) - 1
+    window, n = p.window, len(s.prefix) - 1
     none = np.zeros(0, np.int64)
     if n < window:
         return none.astype(np.uint64), none, none, none
-    at = np.arange(n - gram + 1)
-    grams = span_hash(s.prefix, at, at + gram)
-    bits = np.uint64(max(1, int(n).bit_length()))
-    low = (grams >> bits << bits) | at.astype(np.uint64)
-    wide, span = window - gram + 1, 1
+    at = np.arange(n - p.pick + 1)
+    bits = np.uint64(n.bit_length())
+    low = (span_hash(s.prefix, at, at + p.pick) >> bits << bits) | at.astype(np.uint64)
+    wide, span = window - p.pick + 1, 1
     while span * 2 <= wide:
         low = np.minimum(low[:-span], low[span:])
         span *= 2
     if span < wide:
         low = np.minimum(low[: len(low) - (wide - span)], low[wide - span :])
-    place = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     row = np.repeat(np.arange(len(s.first) - 1), np.diff(s.first))
     starts = np.flatnonzero(row[: n - window + 1] == row[window - 1 :])
     if not len(starts):
         return none.astype(np.uint64), none, none, none
-    place = place[starts]
+    least = (low[starts] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    place = starts + (least - starts) % (window - p.gram + 1)
     new = np.ones(len(starts), bool)
     new[1:] = (place[1:] != place[:-1]) | (row[starts[1:]] != row[starts[:-1]])
     heads = np.flatnonzero(new)
-    return grams[place[heads]], row[starts[heads]], starts[heads], np.diff(np.append(heads, len(starts)))
+    return span_hash(s.prefix, place[heads], place[heads] + p.gram), row[starts[heads]], starts[heads], np.diff(np.append(heads, len(starts)))
+
+
+def _apart(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The rows that take part: those with an id and a text that is no later copy."""
+    out = pc.and_(pc.is_valid(batch.column("doc")), pc.invert(batch.column("copy")))
+    return batch if pc.all(out).as_py() else batch.filter(out)
 
 
 def _batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
@@ -130,8 +154,8 @@ def _batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
 
 _HASHES = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("known", pa.int8())])
 _REPEATED = pa.schema([("doc", pa.int64()), ("h", pa.int64())])
-_CONTEXTS = pa.schema([("h", pa.int64()), ("ctx", pa.binary()), ("doc", pa.int64()), ("tid", pa.int64()), ("at", pa.int64()), ("open", pa.int8())])
-_RANGES = pa.schema([("doc", pa.int64()), ("tid", pa.int64()), ("at", pa.int64())])
+_CONTEXTS = pa.schema([("h", pa.int64()), ("ctx", pa.binary()), ("doc", pa.int64()), ("at", pa.int64()), ("open", pa.int8())])
+_RANGES = pa.schema([("doc", pa.int64()), ("at", pa.int64())])
 
 
 def _report(p: Passages):
@@ -139,8 +163,8 @@ def _report(p: Passages):
     holds several; of those, every document's pair follows as known 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
-            h, row, _, _ = anchors(symbols(part.column("text"), p.words), p.window, p.gram)
+        for part in slices(map(_apart, batches), "text"):
+            h, row, _, _ = anchors(symbols(part.column("text"), p.words), p)
             doc = part.column("doc").to_numpy(zero_copy_only=False)[row]
             order = np.lexsort((doc, h))
             h, doc = h[order], doc[order]
@@ -194,13 +218,13 @@ def _gather(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.Array:
 
 
 def _contexts(p: Passages):
-    """The contexts of the repeated anchors.  ``at`` is first window * 64 + windows; open 0 marks
-    windows that this chunk already found covered, which need no context."""
+    """The contexts of the repeated anchors; open 0 marks windows that this chunk already found
+    covered, which need no context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(map(_apart, batches), "text"):
             s = symbols(part.column("text"), p.words)
-            h, row, start, owned = anchors(s, p.window, p.gram)
+            h, row, start, owned = anchors(s, p)
             wanted = part.column("hashes")
             flat = wanted.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             of = np.repeat(np.arange(part.num_rows), [0 if x is None else x for x in wanted.value_lengths().to_pylist()])
@@ -219,13 +243,13 @@ def _contexts(p: Passages):
             leader = np.empty(len(h), np.int64)
             leader[order] = order[np.repeat(head, np.diff(np.append(head, len(h))))]
             covered = (doc != doc[leader]) | (p.within & (local != local[leader]))
-            at = local * 64 + owned
+            at = _pack(local, tid, owned)
             if covered.any():
                 n = int(covered.sum())
-                yield _batch(_CONTEXTS, h[covered].view(np.int64) ^ doc[covered], pa.nulls(n, pa.binary()), doc[covered], tid[covered], at[covered], np.zeros(n, np.int8))
+                yield _batch(_CONTEXTS, h[covered].view(np.int64) ^ doc[covered], pa.nulls(n, pa.binary()), doc[covered], at[covered], np.zeros(n, np.int8))
             sent = ~covered
             ctx = _gather(s.data, s.lo[start[sent]], s.hi[start[sent] + owned[sent] + p.window - 2])
-            yield _batch(_CONTEXTS, h[sent].view(np.int64), ctx, doc[sent], tid[sent], at[sent], np.ones(int(sent.sum()), np.int8))
+            yield _batch(_CONTEXTS, h[sent].view(np.int64), ctx, doc[sent], at[sent], np.ones(int(sent.sum()), np.int8))
 
     return run
 
@@ -257,25 +281,26 @@ def _meet(p: Passages):
     """Contexts sorted by (h, ctx, doc, at) to covered ranges (open 0); windows of anchors too
     large for a shard come out one by one (open 1)."""
 
-    def ranges(doc, tid, at):
+    def ranges(doc, at):
         n = len(doc)
-        return _batch(_CONTEXTS, np.zeros(n, np.int64), pa.nulls(n, pa.binary()), doc, tid, at, np.zeros(n, np.int8))
+        return _batch(_CONTEXTS, np.zeros(n, np.int64), pa.nulls(n, pa.binary()), doc, at, np.zeros(n, np.int8))
 
     def solved(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         part = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
         data, offsets = utf8(part.column("ctx"))
-        doc, tid, at = (part.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "tid", "at"))
-        shard = Shard(data, offsets, at % 64, doc, at // 64)
-        ctx, first, size = _runs(p.match(shard, p), shard.owned)
-        return ranges(doc[ctx], tid[ctx], (shard.start[ctx] + first) * 64 + size)
+        doc, at = (part.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "at"))
+        start, tid, owned = _unpack(at)
+        ctx, first, size = _runs(p.match(Shard(data, offsets, owned, doc, start), p), owned)
+        return ranges(doc[ctx], _pack(start[ctx] + first, tid[ctx], size))
 
     def dealt(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in slices(iter([rows]), "ctx", SHARD_BYTES // 4):
             data, offsets = utf8(part.column("ctx"))
-            doc, tid, at = (part.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "tid", "at"))
-            text, of, place = _windows(p, data, offsets, at % 64)
+            doc, at = (part.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "at"))
+            start, tid, owned = _unpack(at)
+            text, of, place = _windows(p, data, offsets, owned)
             n = len(of)
-            yield _batch(_CONTEXTS, np.zeros(n, np.int64), text, doc[of], tid[of], (at[of] // 64 + place) * 64 + 1, np.ones(n, np.int8))
+            yield _batch(_CONTEXTS, np.zeros(n, np.int64), text, doc[of], _pack(start[of] + place, tid[of], 1), np.ones(n, np.int8))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending: list[pa.RecordBatch] = []  # rows not yet in a shard
@@ -289,7 +314,7 @@ def _meet(p: Passages):
                 batch = batch.filter(pa.array(~shut))
             if not batch.num_rows:
                 continue
-            h, doc, tid, at = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("h", "doc", "tid", "at"))
+            h, doc, at = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("h", "doc", "at"))
             texts = batch.column("ctx")
             new = np.append(True, (h[1:] != h[:-1]) | ~_equal_next(texts))
             head = np.flatnonzero(new)
@@ -299,9 +324,9 @@ def _meet(p: Passages):
                 own = leader == 0
                 lead_doc, lead_at = np.where(own, last[2], lead_doc), np.where(own, last[3], lead_at)
             last = (h[-1], texts[-1].as_py(), lead_doc[-1], lead_at[-1])
-            covered = (doc != lead_doc) | (p.within & (at != lead_at))
+            covered = (doc != lead_doc) | (p.within & (at // (64 * TAGS) != lead_at // (64 * TAGS)))
             if covered.any():
-                yield ranges(doc[covered], tid[covered], at[covered])
+                yield ranges(doc[covered], at[covered])
                 batch = batch.filter(pa.array(~covered))
                 h = h[~covered]
             if dealing is not None and len(h):
@@ -342,12 +367,12 @@ def _firsts(p: Passages):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # window, and document and place of its first twin
         for batch in slices(batches, "ctx", SHARD_BYTES):
-            doc, tid, at, opened = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "tid", "at", "open"))
+            doc, at, opened = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "at", "open"))
             done = opened == 0
             if done.any():
-                yield _batch(_RANGES, doc[done], tid[done], at[done])
+                yield _batch(_RANGES, doc[done], at[done])
                 batch = batch.filter(pa.array(~done))
-                doc, tid, at = doc[~done], tid[~done], at[~done]
+                doc, at = doc[~done], at[~done]
             if not len(doc):
                 continue
             texts = batch.column("ctx")
@@ -357,33 +382,41 @@ def _firsts(p: Passages):
             if last is not None and last[0] == texts[0].as_py():
                 lead_doc, lead_at = np.where(leader == 0, last[1], lead_doc), np.where(leader == 0, last[2], lead_at)
             last = (texts[-1].as_py(), lead_doc[-1], lead_at[-1])
-            covered = (doc != lead_doc) | (p.within & (at != lead_at))
+            covered = (doc != lead_doc) | (p.within & (at // (64 * TAGS) != lead_at // (64 * TAGS)))
             if covered.any():
-                yield _batch(_RANGES, doc[covered], tid[covered], at[covered])
+                yield _batch(_RANGES, doc[covered], at[covered])
 
     return run
 
 
-def covered_windows(docs: DataFrame, p: Passages) -> DataFrame:
-    """(doc, tid, at) of all windows of ``docs`` (doc_id, text) that also start earlier.
+def _with_copies(keyed: DataFrame) -> DataFrame:
+    """``keyed`` (doc, text, ...) with ``tid``, a tag of the text for rows that share an id, and
+    ``copy``, true for a text that a smaller document holds whole."""
+    tag = F.xxhash64("text").bitwiseAND(F.lit(TAGS - 1)).alias("tid")
+    texts = keyed.filter(F.col("doc").isNotNull() & F.col("text").isNotNull()).select("doc", tag, F.sha2("text", 256).alias("digest"))
+    leads = texts.groupBy("digest").agg(F.min("doc").alias("lead"))
+    later = texts.join(leads, "digest").filter("doc > lead").groupBy("doc").agg(F.collect_set("tid").alias("copies"))
+    marked = keyed.join(later.hint("shuffle_hash"), "doc", "left").withColumn("tid", tag)
+    return marked.withColumn("copy", F.coalesce(F.array_contains("copies", F.col("tid")), F.lit(False))).drop("copies")
+
+
+def _covered(marked: DataFrame, p: Passages) -> DataFrame:
+    """(doc, at) of the windows that also start earlier, of texts that are no copies.
 
-    ``at`` is first window * 64 + number of windows; ``tid`` tells apart texts that share an id.
-    Rows without an id or text take no part.
+    ``at`` packs the first window, the text's tag and the number of windows, see ``_pack``.
     """
-    n = parts_for(docs)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
-    some = texts.filter(F.col("doc").isNotNull() & F.col("text").isNotNull())
-    hashes = some.mapInArrow(_report(p), "h long, doc long, known byte")
+    n = parts_for(marked)
+    hashes = marked.mapInArrow(_report(p), "h long, doc long, known byte")
     hashes = hashes.repartition(n, F.when(F.col("known") == 1, F.xxhash64("doc", "h")).otherwise(F.col("h"))).sortWithinPartitions("h", "doc")
     repeated = hashes.mapInArrow(_repeated(p), "doc long, h long").groupBy("doc").agg(F.collect_set("h").alias("hashes"))
-    joined = texts.join(repeated.hint("shuffle_hash"), "doc").withColumn("tid", F.xxhash64("text"))
-    contexts = joined.mapInArrow(_contexts(p), "h long, ctx binary, doc long, tid long, at long, open byte")
+    joined = marked.join(repeated.hint("shuffle_hash"), "doc", "left")
+    contexts = joined.mapInArrow(_contexts(p), "h long, ctx binary, doc long, at long, open byte")
     met = contexts.repartition(n, "h").sortWithinPartitions("h", "ctx", "doc", "at").mapInArrow(_meet(p), contexts.schema)
-    dealt = met.select("ctx", "doc", "tid", "at", "open").repartition(n, F.when(F.col("open") == 1, F.xxhash64("ctx")).otherwise(F.col("doc")))
-    return dealt.sortWithinPartitions("ctx", "doc", "at").mapInArrow(_firsts(p), "doc long, tid long, at long")
+    dealt = met.drop("h").repartition(n, F.when(F.col("open") == 1, F.xxhash64("ctx")).otherwise(F.col("doc")))
+    return dealt.sortWithinPartitions("ctx", "doc", "at").mapInArrow(_firsts(p), "doc long, at long")
 
 
-def _cut(p: Passages, n_out: int):
+def _cut(p: Passages, own: list[str]):
     """Each text's symbols without the covered ones: counts, removed runs, and what is kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -392,15 +425,13 @@ def _cut(p: Passages, n_out: int):
             n, total = part.num_rows, len(s.lo)
             spans = part.column("spans")
             of = np.repeat(np.arange(n), [0 if x is None else x for x in spans.value_lengths().to_pylist()])
-            flat = spans.flatten()
-            mine = flat.field(0).to_numpy(zero_copy_only=False) == part.column("tid").to_numpy(zero_copy_only=False)[of]
-            of, at = of[mine], flat.field(1).to_numpy(zero_copy_only=False)[mine]
-            begin = s.first[of] + at // 64
-            edge = np.zeros(total + 1, np.int32)
-            np.add.at(edge, begin, 1)
-            np.add.at(edge, begin + at % 64 + p.window - 1, -1)
-            gone = np.cumsum(edge[:-1]) > 0
+            start, tid, owned = _unpack(spans.flatten().to_numpy(zero_copy_only=False))
+            mine = tid == part.column("tid").fill_null(-1).to_numpy(zero_copy_only=False)[of]
+            begin, owned = s.first[of[mine]] + start[mine], owned[mine]
+            edge = np.bincount(begin, minlength=total + 1) - np.bincount(begin + owned + p.window - 1, minlength=total + 1)
             row = np.repeat(np.arange(n), np.diff(s.first))
+            copy = part.column("copy").to_numpy(zero_copy_only=False) & (np.diff(s.first) >= p.window)
+            gone = (np.cumsum(edge[:total]) > 0) | copy[row]
             removed = np.bincount(row[gone], minlength=n)
             head = gone.copy()
             head[1:] &= ~(gone[:-1] & (row[1:] == row[:-1]))
@@ -420,9 +451,8 @@ def _cut(p: Passages, n_out: int):
             else:
                 ends = np.cumsum(size)
                 kept = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(s.data[stay]))])
-            own = [part.column(i) for i in range(n_out)]
-            names = part.schema.names[:n_out] + ["n_symbols", "n_removed", "runs", "kept"]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(s.first)), pa.array(removed), pa.ListArray.from_arrays(bounds, pairs), kept], names=names)
+            names = [*own, "n_symbols", "n_removed", "runs", "kept"]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), pa.array(np.diff(s.first)), pa.array(removed), pa.ListArray.from_arrays(bounds, pairs), kept], names=names)
 
     return run
 
@@ -436,11 +466,11 @@ def remove_repeats(docs: DataFrame, p: Passages) -> DataFrame:
     """
     added = ["n_symbols", "n_removed", "runs", "kept"]
     own = [c for c in docs.columns if c.lower() not in added]
-    plain = docs.select(own).toDF(*(c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(own)))
-    spans = covered_windows(plain.select("doc_id", "text"), p).groupBy("doc").agg(F.collect_list(F.struct("tid", "at")).alias("spans"))
-    keyed = plain.withColumn("doc", F.col("doc_id").cast("long"))
-    joined = keyed.join(spans.hint("shuffle_hash"), "doc", "left").drop("doc").withColumn("tid", F.xxhash64("text"))
+    names = [c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(own)]
+    plain = docs.select(own).toDF(*names)
+    marked = _with_copies(plain.withColumn("doc", F.col("doc_id").cast("long")))
+    spans = _covered(marked, p).groupBy("doc").agg(F.collect_list("at").alias("spans"))
+    joined = marked.join(spans.hint("shuffle_hash"), "doc", "left")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields)
     schema = f"{fields}, n_symbols long, n_removed long, runs array<struct<start: long, stop: long>>, kept binary"
-    cut = joined.mapInArrow(_cut(p, len(own)), schema)
-    return cut.toDF(*own, *added)
+    return joined.mapInArrow(_cut(p, names), schema).toDF(*own, *added)
