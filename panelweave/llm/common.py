@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -125,14 +124,6 @@ def parts_for(df: DataFrame, least: int = 1) -> int:
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def hashed_sample(key: Column, seed: int, share: float) -> Column:
-    """A deterministic sample of about ``share`` of the keys."""
-    if share >= 1:
-        return F.lit(True)
-    cut = math.floor((share * 2 - 1) * (1 << 63))
-    return F.xxhash64(key, F.lit(seed)) < F.lit(cut)
-
-
 def stage_folder(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 

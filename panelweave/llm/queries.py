@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fmindex, lpf, mixing, packing, rules, simhash
-from .common import table
+from . import fmindex, langid, lpf, mixing, packing, quality, rules, simhash, toxicity
+from .common import fold, held_out, table
+from .features import labelled
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -100,3 +101,33 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents drawn for the target weights, once per epoch that reads them."""
     drawn = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return drawn.select("doc_id", *mixing.leaf_columns(), "epoch", "n_tokens")
+
+
+def _with_fold(scored: DataFrame, parts: int, part: int, *columns) -> DataFrame:
+    return scored.select("doc_id", held_out(F.col("doc_id"), parts, part).alias("held_out"), *columns)
+
+
+@query("op1_language_id")
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text, learned from three of four folds."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.filter(fold(F.col("doc_id"), 4) != 2))
+    return _with_fold(langid.identify(docs, model), 4, 2, "lang_pred", "score", "languages")
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text, learned from four of five folds."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    weights = toxicity.fit(docs, labels, fold(F.col("doc_id"), 5) != 0)
+    scored = toxicity.score(docs, weights)
+    return _with_fold(scored, 5, 0, "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+@query("op8_quality_classifier")
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every text, learned from three of four folds."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    weights = quality.fit(labelled(docs, labels, "quality", fold(F.col("doc_id"), 4) != 2, quality.SAMPLE, 8))
+    scored = quality.score(docs, weights)
+    return _with_fold(scored, 4, 2, "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
