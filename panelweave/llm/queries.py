@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fmindex, langid, lpf, mixing, packing, quality, rules, simhash, toxicity
+from . import ann, fmindex, langid, lpf, mixing, packing, quality, rules, simhash, toxicity
 from .common import fold, held_out, table
 from .features import labelled
 
@@ -131,3 +131,9 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = quality.fit(labelled(docs, labels, "quality", fold(F.col("doc_id"), 4) != 2, quality.SAMPLE, 8))
     scored = quality.score(docs, weights)
     return _with_fold(scored, 4, 2, "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
+@query("op4_dimension_scan")
+def op4_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors to each whose id is divisible by 50."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)

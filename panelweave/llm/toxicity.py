@@ -22,9 +22,10 @@ from .simhash import LOWER
 #: Confirmed and unlabelled documents in the training sample, at most about.
 POSITIVES, UNLABELLED = 8_000, 24_000
 NGRAM = 1
-#: Confirmed documents in which a feature must stand to count; its excess among them in standard
-#: errors of the pooled share; the share of toxic ones among the documents that hold it, by the prior.
-LEAST_DOCS, LEAST_EXCESS, LEAST_PURITY = 3, 4.0, 0.5
+#: Confirmed documents in which a feature must stand to count, as a number and as a share; its
+#: excess among them in standard errors of the pooled share; the share of toxic ones among the
+#: documents that hold it, by the prior.
+LEAST_DOCS, LEAST_SHARE, LEAST_EXCESS, LEAST_PURITY = 4, 0.01, 4.0, 0.75
 STEPS, RATE, L2 = 300, 0.3, 1e-6
 
 
@@ -59,7 +60,7 @@ def telling(positive: Rows, unlabelled: Rows, prior: float) -> np.ndarray:
     share = (a + b) / (n + m)
     error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n + 1 / m))
     pure = prior * a / n >= LEAST_PURITY * b / m
-    return (a >= LEAST_DOCS) & ((a / n - b / m) >= LEAST_EXCESS * error) & pure
+    return (a >= max(LEAST_DOCS, LEAST_SHARE * n)) & ((a / n - b / m) >= LEAST_EXCESS * error) & pure
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
