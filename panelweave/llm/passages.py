@@ -139,7 +139,8 @@ def anchors(s: Symbols, p: Passages) -> tuple[np.ndarray, np.ndarray, np.ndarray
     new = np.ones(len(starts), bool)
     new[1:] = (place[1:] != place[:-1]) | (row[starts[1:]] != row[starts[:-1]])
     heads = np.flatnonzero(new)
-    return span_hash(s.prefix, place[heads], place[heads] + p.gram), row[starts[heads]], starts[heads], np.diff(np.append(heads, len(starts)))
+    # 48 bits: a chance meeting of two hashes only makes a candidate, which the match refutes.
+    return span_hash(s.prefix, place[heads], place[heads] + p.gram) >> np.uint64(16), row[starts[heads]], starts[heads], np.diff(np.append(heads, len(starts)))
 
 
 def _apart(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -393,7 +394,7 @@ def _with_copies(keyed: DataFrame) -> DataFrame:
     """``keyed`` (doc, text, ...) with ``tid``, a tag of the text for rows that share an id, and
     ``copy``, true for a text that a smaller document holds whole."""
     tag = F.xxhash64("text").bitwiseAND(F.lit(TAGS - 1)).alias("tid")
-    texts = keyed.filter(F.col("doc").isNotNull() & F.col("text").isNotNull()).select("doc", tag, F.sha2("text", 256).alias("digest"))
+    texts = keyed.filter(F.col("doc").isNotNull() & F.col("text").isNotNull()).select("doc", tag, F.unhex(F.sha2("text", 256)).alias("digest"))
     leads = texts.groupBy("digest").agg(F.min("doc").alias("lead"))
     later = texts.join(leads, "digest").filter("doc > lead").groupBy("doc").agg(F.collect_set("tid").alias("copies"))
     marked = keyed.join(later.hint("shuffle_hash"), "doc", "left").withColumn("tid", tag)
