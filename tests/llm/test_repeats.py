@@ -42,8 +42,8 @@ def test_words_match_brute_force(make, seed):
 def test_an_anchor_too_large_for_a_shard_is_dealt_out(make, monkeypatch):
     rows = corpus(5)
     p = passages.Passages(50, 8, 8, words=False, within=False, match=lpf.earlier_matches)
-    monkeypatch.setattr(passages, "SHARD_BYTES", 256)
-    monkeypatch.setattr(passages, "GROUP_BYTES", 256)
+    monkeypatch.setattr(passages, "SHARD_BYTES", 100)
+    monkeypatch.setattr(passages, "GROUP_BYTES", 100)
     docs = make(rows).repartition(3)
     # The limits are read where the tasks run, so the steps run here, on one batch.
     import pyarrow as pa
