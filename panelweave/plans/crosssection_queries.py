@@ -311,7 +311,22 @@ def _(spark, sf):
     return picks(spark, sf).withColumnRenamed("alpha_share", "share")
 
 
-@register("sleeve_weights", "B6", None, "as_of region entity sector", "", "weight cash_pct")
+SLEEVES = f"""{PICKS}, vol AS (SELECT as_of, region, entity, sector, coalesce(sector, 'Unclassified') AS sec, coalesce(downside_vol, vol252) AS v FROM picks),
+inv AS (SELECT *, CASE WHEN v IS NOT NULL THEN 1 / greatest(v, 0.05) END AS q FROM vol),
+shr AS (SELECT as_of, region, entity, sector, sec, q2 / sum(q2) OVER (PARTITION BY as_of, region) AS share
+  FROM (SELECT *, coalesce(q, avg(q) OVER (PARTITION BY as_of, region), 1) AS q2 FROM inv)),
+fold AS (SELECT as_of, region, entity, sector, sec, share, CAST(0 AS DOUBLE) AS w, true AS free, 0 AS k FROM shr
+  UNION ALL
+  SELECT as_of, region, entity, sector, sec, share, CASE WHEN held > 0.3 + 1e-9 THEN w2 * 0.3 / held ELSE w2 END, free2 AND held <= 0.3 + 1e-9, k + 1
+  FROM (SELECT *, sum(w2) OVER (PARTITION BY as_of, region, sec) AS held FROM (
+    SELECT *, CASE WHEN free THEN least(grown, 0.15) ELSE w END AS w2, free AND grown <= 0.15 AS free2 FROM (
+      SELECT *, w + CASE WHEN free AND spare > 1e-6 THEN share / nullif(open_, 0) * spare ELSE 0 END AS grown FROM (
+        SELECT *, 0.95 - sum(w) OVER (PARTITION BY as_of, region) AS spare, sum(CASE WHEN free THEN share ELSE 0 END) OVER (PARTITION BY as_of, region) AS open_
+        FROM fold WHERE k < 12))))),
+wsleeve AS (SELECT *, round(100 * (1 - sum(w) OVER (PARTITION BY as_of, region)), 1) AS cash_pct, round(w, 4) AS weight FROM fold WHERE k = 12)"""
+
+
+@register("sleeve_weights", "B6", f"WITH RECURSIVE {SLEEVES} --final SELECT * FROM wsleeve", "as_of region entity sector", "", "weight:3 cash_pct:0")
 def _(spark, sf):
     return pf.sleeve_weights(picks(spark, sf))
 
