@@ -8,6 +8,8 @@ in the history, whatever share of the raw rows an entity holds.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -65,9 +67,19 @@ def with_position(df: DataFrame, keys=ENTITY, ts: str = "ts", name: str = "pos")
     return df.withColumn(name, F.row_number().over(axis(keys, ts)))
 
 
-# Rows per block of the exponential mean.  A weight this old is below double
-# precision for every span up to about 55 (d**1024 < 1e-16).
+# Rows per block of the exponential mean, for the spans whose weights neither outlast a
+# block (d**1024 < 1e-16) nor overflow in it.  Other spans get a block of their own size.
 EWM_BLOCK = 1024
+EWM_SPANS = (4, 55)
+
+
+def ewm_block(span: int) -> int:
+    """A block over which the weights of this span fall below double precision."""
+    if span < 2:
+        raise ValueError("an exponential mean needs a span of two or more")
+    if EWM_SPANS[0] <= span <= EWM_SPANS[1]:
+        return EWM_BLOCK
+    return max(2, math.ceil(37 / -math.log(1 - 2 / (span + 1))))
 
 
 def with_blocks(df: DataFrame, size: int = EWM_BLOCK, keys=ENTITY, ts: str = "ts") -> DataFrame:
@@ -86,26 +98,34 @@ def ewm_mean(df: DataFrame, means: dict[str, tuple[str, int]], keys=ENTITY, ts="
 
     ``means`` maps an output column to (source, span).  Inside a block the
     weighted sum is a plain running sum of x * d**-i scaled back by d**i.  The
-    only carry needed is the total of the previous block, since older blocks
-    weigh less than one unit in the last place.  Needs ``with_blocks``.
+    last block that held a value is carried: into the next block with its
+    weight, and over any number of blocks without a value as it stands, since a
+    mean does not change while nothing is added.  Older totals weigh less than
+    one unit in the last place.  Needs ``with_blocks``.
     """
-    inside = Window.partitionBy(*keys, "_blk").orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*keys).orderBy("_blk", ts).rowsBetween(Window.unboundedPreceding, -1)
-    at_end = F.col("_slot") == EWM_BLOCK - 1
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    local, final = {}, {}
-    for out, (source, span) in means.items():
-        if not 4 <= span <= 55:
-            raise ValueError("spans outside 4..55 need another EWM_BLOCK")
-        d = F.lit(1.0 - 2.0 / (span + 1.0))
-        up, down = F.pow(d, -F.col("_slot")), F.pow(d, F.col("_slot"))
-        known = F.col(source).isNotNull()
-        local[f"_n_{out}"] = zero(F.sum(F.when(known, F.col(source) * up)).over(inside)) * down
-        local[f"_d_{out}"] = zero(F.sum(F.when(known, up)).over(inside)) * down
-        # The previous block's total sits on its last row and is carried forward.
-        carried = lambda c: zero(F.last(F.when(at_end, F.col(c)), ignorenulls=True).over(before)) * down * d
-        final[out] = ratio(F.col(f"_n_{out}") + carried(f"_n_{out}"), F.col(f"_d_{out}") + carried(f"_d_{out}"))
-    return df.withColumns(local).withColumns(final).drop(*local)
+    for size in sorted({ewm_block(span) for _, span in means.values()}):
+        mine = {out: m for out, m in means.items() if ewm_block(m[1]) == size}
+        part = df if size == EWM_BLOCK else with_blocks(df.withColumnsRenamed({"_blk": "_blk0", "_slot": "_slot0"}), size, keys, ts)
+        inside = Window.partitionBy(*keys, "_blk").orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
+        before = Window.partitionBy(*keys).orderBy("_blk", ts).rowsBetween(Window.unboundedPreceding, -1)
+        at_end = F.col("_slot") == size - 1
+        local, final = {}, {}
+        for out, (source, span) in mine.items():
+            d = F.lit(1.0 - 2.0 / (span + 1.0))
+            up, down = F.pow(d, -F.col("_slot")), F.pow(d, F.col("_slot"))
+            known = F.col(source).isNotNull()
+            n, weight = f"_n_{out}", f"_d_{out}"
+            local[n] = zero(F.sum(F.when(known, F.col(source) * up)).over(inside)) * down
+            local[weight] = zero(F.sum(F.when(known, up)).over(inside)) * down
+            total = F.struct(F.col("_blk").alias("blk"), F.col(n).alias("n"), F.col(weight).alias("w"))
+            held = F.last(F.when(at_end & (F.col(weight) > 0), total), ignorenulls=True).over(before)
+            use = (held["blk"] == F.col("_blk") - 1) | (F.col(weight) == 0)
+            carried = lambda x: zero(F.when(use, x)) * down * d
+            final[out] = ratio(F.col(n) + carried(held["n"]), F.col(weight) + carried(held["w"]))
+        part = part.withColumns(local).withColumns(final).drop(*local)
+        df = part if size == EWM_BLOCK else part.drop("_blk", "_slot").withColumnsRenamed({"_blk0": "_blk", "_slot0": "_slot"})
+    return df
 
 
 def rolling_drawdown(

@@ -51,14 +51,17 @@ def lag_exog(df: DataFrame, columns: list[str], rows: int = 1) -> DataFrame:
 
 
 def with_macro(bars: DataFrame, macro: DataFrame, allowed: list[str] | None = None) -> DataFrame:
-    """Allowed daily series as columns: aligned, forward filled, one row late."""
-    names = allowed or SAME_DAY_PUBLIC
-    wide = (
-        pit_allowlist(macro, names)
-        .groupBy(F.col("obs_date").alias("ts"))
-        .pivot("indicator", names)
-        .agg(F.first("value"))
-    )
+    """Allowed daily series as columns: aligned, forward filled, one row late.
+
+    A series without a single observation gets no column, so that it is absent for what follows.
+    Of several values for a date the largest counts.
+    """
+    usable = pit_allowlist(macro, allowed).where(F.col("value").isNotNull())
+    found = {r[0] for r in usable.select("indicator").distinct().collect()}  # at most the allow-list
+    names = [n for n in allowed or SAME_DAY_PUBLIC if n in found]
+    if not names:
+        return bars
+    wide = usable.groupBy(F.col("obs_date").alias("ts")).pivot("indicator", names).agg(F.max("value"))
     return lag_exog(align_ffill(bars, wide, ["ts"], names), names, 1)
 
 

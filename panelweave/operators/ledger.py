@@ -272,10 +272,15 @@ def _calendar(bars: DataFrame, keys: list[str]) -> DataFrame:
     return days.withColumn("i", F.row_number().over(w) - 1).withColumn("_len", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
 
 
-def _momentum_scores(d: DataFrame, keys: list[str]) -> DataFrame:
+def _on_grid(a: Column, step: int) -> Column:
+    """Whether an index is a rebalance position, so that no other is shuffled."""
+    return (a >= 252) & ((a - 252) % step == 0)
+
+
+def _momentum_scores(d: DataFrame, keys: list[str], step: int) -> DataFrame:
     """close[i-21] / close[i-252] - 1 on the panel's shared calendar."""
     at = lambda shift, name: F.struct((F.col("i") + shift).alias("a"), F.lit(name).alias("role"))
-    e = d.withColumn("_x", F.explode(F.array(at(21, "near"), at(252, "far"))))
+    e = d.withColumn("_x", F.explode(F.array(at(21, "near"), at(252, "far")))).where(_on_grid(F.col("_x.a"), step))
     pick = lambda r: F.max(F.when(F.col("_x.role") == r, F.col("close")))
     return e.groupBy(*keys, "entity", F.col("_x.a").alias("a")).agg(change(pick("near"), pick("far")).alias("score"))
 
@@ -295,16 +300,21 @@ def _lowvol_scores(d: DataFrame, keys: list[str], step: int) -> DataFrame:
     e = e.withColumn("a", 252 + F.col("_k") * step)
     g = e.groupBy(*keys, "entity", "a").agg(
         F.min("i").alias("_f"), F.min_by("_r", "i").alias("_r0"),
-        F.sum("_r").alias("_s"), F.sum(F.col("_r") * F.col("_r")).alias("_q"),
+        F.count("_r").alias("_k"), F.avg("_r").alias("_m"), F.var_pop("_r").alias("_v"),
     )
-    r0 = F.coalesce("_r0", F.lit(0.0))
-    s, q = F.coalesce("_s", F.lit(0.0)) - r0, F.coalesce("_q", F.lit(0.0)) - r0 * r0
+    # Take the frame's first return out of the moments, then pad the days without one by zeros.
+    first = F.col("_r0").isNotNull()
+    k = F.col("_k") - first.cast("int")
+    mean = F.when(first, F.try_divide(F.col("_m") * F.col("_k") - F.col("_r0"), k)).otherwise(F.col("_m"))
+    gap = F.when(first, F.col("_r0") - F.col("_m")).otherwise(0.0)
+    squares = F.col("_v") * F.col("_k") - F.when(first, F.coalesce(gap * gap * F.col("_k") / F.nullif(k, F.lit(0)), F.lit(0.0))).otherwise(0.0)
     n = (F.col("a") - 1 - F.col("_f")).cast("double")
-    var = F.when(n >= 2, F.greatest((q - s * s / n) / (n - 1), F.lit(0.0)))
+    spread = F.coalesce(F.when(k > 0, F.greatest(squares, F.lit(0.0)) + mean * mean * k * (n - k) / n), F.lit(0.0))
+    var = F.when(n >= 2, spread / (n - 1))
     return g.select(*keys, "entity", "a", (-F.sqrt(var)).alias("score"))
 
 
-FACTORS = {"momentum": lambda d, keys, step: _momentum_scores(d, keys), "lowvol": _lowvol_scores}
+FACTORS = {"momentum": lambda d, keys, step: _momentum_scores(d, keys, step), "lowvol": _lowvol_scores}
 
 
 def factor_ic(bars: DataFrame, factor: str = "momentum", horizon: int = 63, step: int = 21, keys: list[str] = ["region"]) -> DataFrame:
@@ -316,10 +326,10 @@ def factor_ic(bars: DataFrame, factor: str = "momentum", horizon: int = 63, step
     """
     cal = _calendar(bars, keys)
     d = bars.where(F.col("close").isNotNull()).select(*keys, "entity", "ts", "close").join(cal, [*keys, "ts"])
-    on_grid = (F.col("a") >= 252) & ((F.col("a") - 252) % step == 0) & (F.col("a") < F.col("_len") - horizon)
+    on_grid = _on_grid(F.col("a"), step) & (F.col("a") < F.col("_len") - horizon)
     score = FACTORS[factor](d, keys, step).where(F.col("score").isNotNull())
     at = lambda shift, name: F.struct((F.col("i") + shift).alias("a"), F.lit(name).alias("role"))
-    e = d.withColumn("_x", F.explode(F.array(at(0, "now"), at(-horizon, "then"))))
+    e = d.withColumn("_x", F.explode(F.array(at(0, "now"), at(-horizon, "then")))).where(_on_grid(F.col("_x.a"), step))
     pick = lambda r: F.max(F.when(F.col("_x.role") == r, F.col("close")))
     fwd = e.groupBy(*keys, "entity", F.col("_x.a").alias("a")).agg(change(pick("then"), pick("now")).alias("fwd"))
     size = cal.select(*keys, F.col("ts").alias("date"), F.col("i").alias("a"), "_len")

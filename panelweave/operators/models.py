@@ -74,22 +74,21 @@ def fit_ensemble(train: DataFrame, features: list[str], target: str, cfg: ModelC
     """Boosted trees and a penalised logistic on standardised features.
 
     Returns a function adding ``prob_raw``, the mean of both probabilities (the
-    trees alone where the linear member cannot be fitted).
+    trees alone where the window holds a single class).
     """
     data = train.select(*features, F.col(target).cast("double").alias("label"))
-    rows = data.count()
+    rows, classes = data.agg(F.count(F.lit(1)), F.countDistinct("label")).first()
     assemble = VectorAssembler(inputCols=features, outputCol="_x")
     boosted = (
         GBTClassifier(featuresCol="_x", maxIter=cfg.trees, maxDepth=cfg.depth, stepSize=cfg.learning_rate, subsamplingRate=cfg.subsample, seed=42)
         .setProbabilityCol("_pt").setPredictionCol("_yt").setRawPredictionCol("_rt")
     )
     trees = Pipeline(stages=[assemble, boosted]).fit(data)
-    try:
+    linear = None
+    if classes > 1:
         linear = Pipeline(stages=[assemble, StandardScaler(inputCol="_x", outputCol="_xs", withMean=True), LogisticRegression(
             featuresCol="_xs", regParam=1.0 / (cfg.inverse_penalty * max(rows, 1)), standardization=False, maxIter=100,
             probabilityCol="_pl", predictionCol="_yl", rawPredictionCol="_rl")]).fit(data)
-    except Exception:
-        linear = None
 
     def score(df: DataFrame) -> DataFrame:
         up = lambda c: vector_to_array(c)[1]

@@ -250,12 +250,20 @@ def _(spark, sf):
 
 @register(
     "neutral_defaults", "P3",
-    f"{B} SELECT entity, ts, CAST(20 AS DOUBLE) AS vix, CAST(3 AS DOUBLE) AS t10, 0.5 AS yc, 1.0 AS rel_ratio, 0.0 AS rel_momentum FROM bars",
-    "entity ts", "", "vix t10 yc rel_ratio rel_momentum",
+    f"""WITH {v.BARS}, {v.MACRO_DAILY}, t10 AS (SELECT obs_date AS ts, value FROM macro_daily WHERE indicator = 'Treasury_10Y'),
+    j AS (SELECT b.*, t10.value FROM bars b LEFT JOIN t10 USING (ts)),
+    f AS (SELECT *, last_value(value IGNORE NULLS) OVER (PARTITION BY entity ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held FROM j)
+    --final SELECT 'no series' AS panel, entity, ts, CAST(20 AS DOUBLE) AS vix, CAST(3 AS DOUBLE) AS t10, 0.5 AS yc, 1.0 AS rel_ratio, 0.0 AS rel_momentum FROM bars
+    UNION ALL SELECT 'no curve', entity, ts, 20, held, 0.5, 1.0, 0.0 FROM f""",
+    "panel entity ts", "", "vix t10 yc rel_ratio rel_momentum",
 )
 def _(spark, sf):
-    df = fx.relative_strength(fx.with_neutral_defaults(v.bars(spark, sf)))
-    return df.withColumnsRenamed({"Treasury_10Y": "t10", "Yield_Curve": "yc"})
+    bars = v.bars(spark, sf)
+    ten = v.macro_daily(spark, sf).where(F.col("indicator") == "Treasury_10Y")
+    cols = ["panel", "entity", "ts", "vix", "Treasury_10Y", "Yield_Curve", "rel_ratio", "rel_momentum"]
+    fill = lambda df, name: fx.relative_strength(fx.with_neutral_defaults(df)).withColumn("panel", F.lit(name)).select(cols)
+    both = fill(bars, "no series").unionByName(fill(fx.with_macro(bars, ten), "no curve"))
+    return both.withColumnsRenamed({"Treasury_10Y": "t10", "Yield_Curve": "yc"})
 
 
 @register(

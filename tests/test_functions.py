@@ -93,3 +93,17 @@ def test_wilson_and_shrink(spark):
 
 def test_last_day_helper(spark):
     assert spark.range(1).select(dates.month_end(F.lit("2024-02-10").cast("date")).alias("d")).first().d == date("2024-02-29")
+
+
+def test_ewm_repeats_its_mean_over_long_gaps_and_takes_any_span(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(100, 5, 5200)
+    x[700:3400] = np.nan  # over two blocks without a value
+    s = pd.Series(x)
+    rows = [("A", i, None if np.isnan(v) else float(v)) for i, v in enumerate(x)]
+    df = timewin.with_blocks(spark.createDataFrame(rows, "entity string, ts int, close double"))
+    spans = [2, 9, 26, 80, 400]
+    got = timewin.ewm_mean(df, {f"s{n}": ("close", n) for n in spans}).orderBy("ts").toPandas()
+    for n in spans:
+        want = s.ewm(span=n, ignore_na=False).mean()
+        assert np.allclose(got[f"s{n}"].astype(float), want, rtol=1e-9, equal_nan=True), n
