@@ -20,6 +20,7 @@ def local_session(cores: str | int = "*", app: str = "panelweave") -> SparkSessi
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("BENCH_DRIVER_MEM", "12g"))
+        .config("spark.checkpoint.dir", os.environ.get("BENCH_STAGE_DIR") or tempfile.mkdtemp(prefix="spark-ckpt-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -27,18 +28,20 @@ def local_session(cores: str | int = "*", app: str = "panelweave") -> SparkSessi
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder lineage is cut into.
+    """The shared folder lineage is cut into, named by ``spark.checkpoint.dir``.
 
-    On a cluster ``spark.checkpoint.dir`` names it.  Only where it is unset (a
-    test, a laptop) does a local folder stand in.
+    A session over several machines without one is an error: its executors would write to their
+    own disks.  Only a local session gets a folder of its own.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    folder = configured or tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="spark-ckpt-")
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -54,12 +57,29 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-_TABLES: dict[tuple[str, str], DataFrame] = {}
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """Size, number and newest change of the files in a folder, through Spark's own file systems."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(place):
+        return "none"
+    total = fs.getContentSummary(place)
+    newest = max((s.getModificationTime() for s in fs.listStatus(place)), default=0)
+    return f"{total.getLength()}-{total.getFileCount()}-{newest}"
+
+
+_TABLES: dict[tuple[str, str], tuple[str, DataFrame]] = {}
 
 
 def stage_table(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A derived table computed once per application and shared by its readers."""
-    key = (spark.sparkContext.applicationId, name)
-    if key not in _TABLES:
-        _TABLES[key] = cut_lineage(build(), name.rsplit("/", 1)[-1])
-    return _TABLES[key]
+    """A derived table computed once per application and state of its input, and shared by its readers.
+
+    ``name`` is the input folder, a slash and the table's name; once the folder's files change the
+    table is built again.
+    """
+    folder, _, label = name.rpartition("/")
+    key, state = (spark.sparkContext.applicationId, name), fingerprint(spark, folder)
+    if key not in _TABLES or _TABLES[key][0] != state:
+        _TABLES[key] = state, cut_lineage(build(), label)
+    return _TABLES[key][1]

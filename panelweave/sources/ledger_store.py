@@ -1,8 +1,9 @@
-"""Stored ledger: append-only JSON lines partitioned by date."""
+"""Stored ledger: append-only Parquet partitioned by date."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
@@ -31,7 +32,7 @@ LEDGER_SCHEMA = T.StructType(
 def read_ledger(spark: SparkSession, path: str, schema: T.StructType = LEDGER_SCHEMA) -> DataFrame:
     """The stored ledger; a folder that does not exist yet is an empty ledger."""
     try:
-        return spark.read.schema(schema).json(path).where("id IS NOT NULL")
+        return spark.read.schema(schema).parquet(path).where("id IS NOT NULL")
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
@@ -39,8 +40,14 @@ def read_ledger(spark: SparkSession, path: str, schema: T.StructType = LEDGER_SC
 
 
 def append_ledger(new: DataFrame, path: str, schema: T.StructType = LEDGER_SCHEMA, order: list[str] = ["date"]) -> None:
-    """Append the new rows of live runs; stored rows are never rewritten."""
+    """Append the new rows of live runs; stored rows are never rewritten.
+
+    An id holds its date, so only the stored dates that the new rows span are read.
+    """
     spark = new.sparkSession
     rows = live_only(new).drop("data_mode") if "data_mode" in new.columns else new
-    fresh = append_new(read_ledger(spark, path, schema).select("id"), rows, order)
-    fresh.write.mode("append").partitionBy("date").json(path)
+    first, last = rows.agg(F.min("date"), F.max("date")).first()
+    if first is None:
+        return
+    stored = read_ledger(spark, path, schema).where(F.col("date").between(F.lit(first), F.lit(last))).select("id")
+    append_new(stored, rows, order).write.mode("append").partitionBy("date").parquet(path)

@@ -6,7 +6,7 @@ anti-join against it makes a replayed batch or a restart write nothing twice.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,18 +57,33 @@ def mature(signals: DataFrame, bars: DataFrame, done: DataFrame, benchmarks: Dat
     return new.join(done.select("id", "horizon"), ["id", "horizon"], "left_anti")
 
 
-def start_maturity(bar_stream: DataFrame, signals: DataFrame, benchmarks: DataFrame, bar_path: str, outcome_path: str, checkpoint: str, horizons=HORIZONS):
-    """Store arriving bars and emit an outcome when its horizon's last bar is in."""
+def start_maturity(bar_stream: DataFrame, signals: DataFrame, benchmarks: DataFrame, bar_path: str, outcome_path: str, checkpoint: str, horizons=HORIZONS, lookback: int = 12):
+    """Store arriving bars and emit an outcome when its horizon's last bar is in.
+
+    Bars are stored by month.  A batch is compared with the stored bars of its own months, and only
+    signals on its entities are evaluated, over bars from ``lookback`` months before the oldest of
+    them on: a signal's reference bar may be that old.
+    """
     spark = bar_stream.sparkSession
     names = [f.name for f in OUTCOME_SCHEMA.fields]
+    stored = T.StructType([*BAR_SCHEMA.fields, T.StructField("month", T.DateType())])
+    month = F.trunc("ts", "month").alias("month")
 
     def step(batch: DataFrame, _epoch: int) -> None:
-        known = _stored(spark, bar_path, BAR_SCHEMA).select("entity", "ts")
-        fresh = batch.select(*[f.name for f in BAR_SCHEMA.fields]).dropDuplicates(["entity", "ts"])
-        fresh.join(known, ["entity", "ts"], "left_anti").write.mode("append").parquet(bar_path)
-        done = _stored(spark, outcome_path, OUTCOME_SCHEMA)
-        bars = _stored(spark, bar_path, BAR_SCHEMA)
-        out = mature(signals, bars, done, benchmarks, horizons)
+        columns = [f.name for f in BAR_SCHEMA.fields]
+        # Of several bars for a day the first in order of all values counts.
+        latest = F.row_number().over(Window.partitionBy("entity", "ts").orderBy(*columns))
+        rows = batch.select(*columns, month).withColumn("_rn", latest).where("_rn = 1").drop("_rn")
+        first, last = rows.agg(F.min("month"), F.max("month")).first()
+        if first is not None:
+            known = _stored(spark, bar_path, stored).where(F.col("month").between(F.lit(first), F.lit(last))).select("entity", "ts")
+            rows.join(known, ["entity", "ts"], "left_anti").write.mode("append").partitionBy("month").parquet(bar_path)
+        mine = signals.join(batch.select("entity").distinct(), "entity", "left_semi")
+        oldest = mine.agg(F.add_months(F.trunc(F.min("date"), "month"), -lookback)).first()[0]
+        if oldest is None:
+            return
+        bars = _stored(spark, bar_path, stored).where(F.col("month") >= F.lit(oldest)).drop("month")
+        out = mature(mine, bars, _stored(spark, outcome_path, OUTCOME_SCHEMA), benchmarks, horizons)
         typed = out.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in OUTCOME_SCHEMA.fields])
         typed.select(*names).write.mode("append").parquet(outcome_path)
 
