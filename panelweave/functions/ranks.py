@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from .stats import col
 
-# 16 buckets per factor of two; the offset keeps every double's log positive.
-_PER_OCTAVE = 16
-_OFFSET = 20000
+# 1024 buckets per factor of two, so that values all near one number, such as ratios near 1,
+# still spread over many; the offset keeps every double's log positive.
+_PER_OCTAVE = 1024
+_OFFSET = 1100 * _PER_OCTAVE
 
 
 def order_bucket(v: str | Column) -> Column:
@@ -54,50 +55,34 @@ def _counted(df: DataFrame, keys: list[str], value: str, weight: Column | None =
     )
 
 
-def average_rank(df: DataFrame, keys: list[str], columns: list[str], suffix: str) -> DataFrame:
+def average_rank(df: DataFrame, keys: list[str], columns: list[str], suffix: str, ids: list[str]) -> DataFrame:
     """Add, per column, the 1-based tie-averaged rank (``<col><suffix>``) and the
     number of ranked rows (``<col><suffix>_of``) in the group.  Nulls get neither.
-    Group keys must be non-null.
+    Group keys must be non-null, and ``keys`` with ``ids`` must identify a row.
+
+    All columns are ranked in one long table and come back by one aggregation, so the plan is the
+    same for any number of columns.
     """
-    long = df.select(
-        *keys,
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_v"))
-                    for c in columns
-                ]
-            )
-        ).alias("_s"),
-    ).select(*keys, "_s._col", "_s._v")
+    rows = [*keys, *ids]
+    values = F.array(*[F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_v")) for c in columns])
+    long = df.select(*rows, F.explode(values).alias("_s")).select(*rows, "_s._col", "_s._v").where(F.col("_v").isNotNull())
     ranked = _counted(long, [*keys, "_col"], "_v").select(
-        *keys,
-        "_col",
-        "_v",
-        (F.col("_below") + (F.col("_n") + 1) / F.lit(2.0)).alias("_rank"),
-        F.col("_all").alias("_of"),
+        *keys, "_col", "_v", (F.col("_below") + (F.col("_n") + 1) / F.lit(2.0)).alias("_rank"), F.col("_all").alias("_of")
     )
-    for c in columns:
-        side = ranked.where(F.col("_col") == c).select(
-            *[F.col(k).alias(f"_k_{k}") for k in keys],
-            F.col("_v").alias("_v"),
-            F.col("_rank").alias(c + suffix),
-            F.col("_of").alias(c + suffix + "_of"),
-        )
-        on = [F.col(k) == F.col(f"_k_{k}") for k in keys]
-        on.append(F.col(c).cast("double") == F.col("_v"))
-        df = df.join(side, on, "left").drop("_v", *[f"_k_{k}" for k in keys])
-    return df
+    of = lambda c, name: F.max(F.when(F.col("_col") == c, F.col(name)))
+    back = [x for c in columns for x in (of(c, "_rank").alias(c + suffix), of(c, "_of").alias(c + suffix + "_of"))]
+    wide = long.join(ranked, [*keys, "_col", "_v"]).groupBy(*rows).agg(*back)
+    return df.join(wide, rows, "left").select(*df.columns, *[c + suffix + end for c in columns for end in ("", "_of")])
 
 
 def percentile_rank(
-    df: DataFrame, keys: list[str], columns: list[str], suffix: str = "_pct", digits: int | None = 0
+    df: DataFrame, keys: list[str], columns: list[str], suffix: str = "_pct", digits: int | None = 0, ids: list[str] = ["entity"]
 ) -> DataFrame:
     """Percentile 0-100 with averaged ties; nulls are ignored.
 
     ``digits`` rounds half to even (None keeps the exact share).
     """
-    out = average_rank(df, keys, columns, "_ar")
+    out = average_rank(df, keys, columns, "_ar", ids)
     for c in columns:
         share = F.col(f"{c}_ar") / F.col(f"{c}_ar_of") * 100
         out = out.withColumn(c + suffix, share if digits is None else F.bround(share, digits))

@@ -177,7 +177,7 @@ def rank_ic(sample: DataFrame) -> DataFrame:
     """
     keys = ["horizon", "date", "region"]
     df = sample.where(F.col("alpha").isNotNull()).withColumn("region", F.coalesce("region", F.lit("UNKNOWN")))
-    df = average_rank(df, keys, ["alpha", "fwd"], "_ar")
+    df = average_rank(df, keys, ["alpha", "fwd"], "_ar", ["entity", "id"] if "id" in df.columns else ["entity"])
     g = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.min("alpha").alias("_a0"), F.max("alpha").alias("_a1"), F.min("fwd").alias("_f0"), F.max("fwd").alias("_f1"),
@@ -344,7 +344,7 @@ def factor_ic(bars: DataFrame, factor: str = "momentum", horizon: int = 63, step
 def average_rank_common(df: DataFrame, keys: list[str]) -> DataFrame:
     """Ranks over the names that have both a score and a forward return."""
     common = df.where(F.col("score").isNotNull() & F.col("fwd").isNotNull())
-    return average_rank(common, keys, ["score", "fwd"], "_ar")
+    return average_rank(common, keys, ["score", "fwd"], "_ar", ["entity"])
 
 
 def factor_ic_summary(series: DataFrame, keys: list[str] = ["region"]) -> DataFrame:

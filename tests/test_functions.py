@@ -29,7 +29,7 @@ def test_percentile_rank_averages_ties_ignores_nulls_and_survives_a_hot_tie(spar
     values = [rng.choice([None, -1.5, 0.0, 0.0, 1e-9, 3.25, rng.gauss(0, 1)]) for _ in range(400)] + [7.0] * 300
     rows = [("g", i, v) for i, v in enumerate(values)] + [("h", 0, 5.0)]
     df = spark.createDataFrame(rows, "k string, i int, v double")
-    got = ranks.percentile_rank(df, ["k"], ["v"], digits=None).where("k = 'g'").orderBy("i").toPandas()["v_pct"]
+    got = ranks.percentile_rank(df, ["k"], ["v"], digits=None, ids=["i"]).where("k = 'g'").orderBy("i").toPandas()["v_pct"]
     want = pd.Series(values, dtype=float).rank(pct=True) * 100
     assert np.allclose(got.astype(float), want, equal_nan=True)
 
@@ -107,3 +107,14 @@ def test_ewm_repeats_its_mean_over_long_gaps_and_takes_any_span(spark):
     for n in spans:
         want = s.ewm(span=n, ignore_na=False).mean()
         assert np.allclose(got[f"s{n}"].astype(float), want, rtol=1e-9, equal_nan=True), n
+
+
+def test_the_rank_plan_does_not_grow_with_the_columns(spark):
+    df = spark.range(100).selectExpr("id % 3 as k", "id as entity", *[f"rand({c}) as c{c}" for c in range(5)])
+    plan = lambda columns: ranks.percentile_rank(df, ["k"], columns)._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+    assert plan(["c0"]) == plan([f"c{c}" for c in range(5)]) <= 12
+
+
+def test_buckets_spread_values_that_lie_near_one_number(spark):
+    df = spark.range(1000).select((F.lit(100.0) + F.col("id") / 500).alias("v"))
+    assert df.select(ranks.order_bucket("v")).distinct().count() > 20
