@@ -68,7 +68,21 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op9_substring_dedup")
+WINDOWS_SQL = rf"""
+WITH d AS (SELECT doc_id, {WORDS_SQL} AS ws FROM documents),
+b AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM d),
+w AS (SELECT doc_id, i, array_to_string(ws[i:i+19], ' ') AS s FROM b WHERE i + 19 <= len(ws)),
+hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM w) WHERE k > 1),
+m AS (SELECT b.doc_id, b.i, b.ws[b.i] AS c,
+        max(hit.i) OVER (PARTITION BY b.doc_id ORDER BY b.i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone
+      FROM b LEFT JOIN hit ON hit.doc_id = b.doc_id AND hit.i = b.i),
+g AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(CASE WHEN NOT gone THEN c END, ' ' ORDER BY i), '') AS kept FROM m GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN g ON g.doc_id = d.doc_id
+"""
+
+
+@query("op9_substring_dedup", WINDOWS_SQL)
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of 20-word windows that also start earlier, removed."""
     cut = fmindex.dedup_words(table(spark, sf_dir, "documents").select("doc_id", "text"))
