@@ -5,6 +5,7 @@ import math
 import pytest
 
 import __spark_entry__ as entry
+from panelweave.plans import load_catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -28,7 +29,9 @@ def duck():
 
 def test_registry_is_complete_and_lazy():
     q, o = entry.queries(), entry.oracle_sql()
-    assert set(o) <= set(q) and len(q) > 120 and len(q) - len(o) <= 8
+    assert set(o) <= set(q)
+    own = load_catalog()
+    assert len(own) > 120 and sum(x.sql is None for x in own.values()) <= 8 and set(own) <= set(q)
 
 
 def test_entry_runs(spark):
