@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -241,16 +243,27 @@ def basket_risk(sample: DataFrame) -> DataFrame:
 
 
 def validation_status(outs: DataFrame, min_days: int = 126) -> DataFrame:
-    """One row: paper history in business days, matured signals, eligibility and reasons.
+    """One row: paper history in business days, matured signals, the evaluation of the 63-day
+    outcomes (dates, rank correlation by region, excess after cost, drawdown, CVaR), eligibility
+    and reasons.
 
     Promotion is never automatic: ``live_validated`` stays false.
     """
-    cross = rank_ic(sampled(outs.where(F.col("horizon") == 63))).agg(F.count(F.lit(1)).alias("cross_sections"))
-    base = outs.agg(
-        F.coalesce(bday_count(F.min("date"), F.max("date")), F.lit(0)).cast("long").alias("paper_days"),
-        F.count_if(F.col("horizon") == 126).alias("matured_signals"),
-    )
-    df = base.withColumn("_k", F.lit(1)).join(cross.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    chosen = sampled(outs.where(F.col("horizon") == 63))
+    ics = rank_ic(chosen)
+    regions = ics.groupBy("region").agg(F.bround(F.avg("ic_exact"), 3).alias("mean_ic"), F.count(F.lit(1)).alias("n_dates"))
+    sides = [
+        outs.agg(
+            F.coalesce(bday_count(F.min("date"), F.max("date")), F.lit(0)).cast("long").alias("paper_days"),
+            F.count_if(F.col("horizon") == 126).alias("matured_signals"),
+        ),
+        ics.agg(F.count(F.lit(1)).alias("cross_sections")),
+        regions.agg(F.sort_array(F.collect_list(F.struct("region", "mean_ic", "n_dates"))).alias("region_ic")),  # a row per region
+        chosen.agg(F.countDistinct("date").alias("eligible_dates"), F.bround(F.avg("excess") - 0.001, 4).alias("excess_after_cost")),
+        basket_risk(chosen).agg(F.max("mdd").alias("mdd"), F.max("cvar95").alias("cvar95")),
+    ]
+    # Each side is one row.
+    df = reduce(lambda a, b: a.join(b, "_k"), [x.withColumn("_k", F.lit(1)) for x in sides]).drop("_k")
     short, none = F.col("paper_days") < min_days, F.col("matured_signals") == 0
     ok = ~short & ~none & (F.col("cross_sections") > 0)
     failing = F.filter(
@@ -258,8 +271,8 @@ def validation_status(outs: DataFrame, min_days: int = 126) -> DataFrame:
         lambda x: x.isNotNull(),
     )
     return df.select(
-        "paper_days", "matured_signals", "cross_sections", ok.alias("live_validation_eligible"),
-        F.lit(False).alias("live_validated"),
+        "paper_days", "matured_signals", "cross_sections", "eligible_dates", "region_ic", "excess_after_cost", "mdd", "cvar95",
+        ok.alias("live_validation_eligible"), F.lit(False).alias("live_validated"),
         F.when(ok, F.array(F.lit("manual_review_required; auto-promotion_disabled"))).otherwise(failing).alias("reasons"),
     )
 
