@@ -246,8 +246,10 @@ def _contexts(p: Passages):
             covered = (doc != doc[leader]) | (p.within & (local != local[leader]))
             at = _pack(local, tid, owned)
             if covered.any():
-                n = int(covered.sum())
-                yield _batch(_CONTEXTS, h[covered].view(np.int64) ^ doc[covered], pa.nulls(n, pa.binary()), doc[covered], at[covered], np.zeros(n, np.int8))
+                first, size = _joined(row[covered], local[covered], owned[covered])
+                mine = np.flatnonzero(covered)[first[0]]
+                n = len(mine)
+                yield _batch(_CONTEXTS, doc[mine], pa.nulls(n, pa.binary()), doc[mine], _pack(first[1], tid[mine], size), np.zeros(n, np.int8))
             sent = ~covered
             ctx = _gather(s.data, s.lo[start[sent]], s.hi[start[sent] + owned[sent] + p.window - 2])
             yield _batch(_CONTEXTS, h[sent].view(np.int64), ctx, doc[sent], at[sent], np.ones(int(sent.sum()), np.int8))
@@ -255,6 +257,17 @@ def _contexts(p: Passages):
     return run
 
 
+def _joined(row: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """Ranges in order, with those that follow on each other joined, in pieces that ``_pack`` holds:
+    an index of a range of the same text, first window and windows."""
+    head = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (start[1:] != start[:-1] + size[:-1])))
+    total = np.add.reduceat(size, head)
+    pieces = -(-total // 63)
+    of = np.repeat(np.arange(len(head)), pieces)
+    at = (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * 63
+    return (head[of], start[head][of] + at), np.minimum(63, total[of] - at)
+
+
 def _runs(flags: np.ndarray, owned: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of flagged windows: their context, first window in it, and length."""
     of = np.repeat(np.arange(len(owned)), owned)
