@@ -21,7 +21,9 @@ from .common import slices, utf8, word_spans
 CAPACITY = 2048
 END = 1
 #: Distinct words whose ids a worker remembers before it starts afresh.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
+#: Text bytes tokenised at a time: words are Python objects, an order larger than their bytes.
+TEXT_BYTES = 1 << 20
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -123,7 +125,7 @@ def _pack(path: str, capacity: int):
         filled: dict[int, int] = {}  # closed bins by piece size
         left: dict[int, dict] = {}  # pieces of the open bin by size
         number = lambda size: base + (size.bit_length() - 1 << 36)
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", TEXT_BYTES):
             ids, bounds = ids_of.ids(*utf8(part.column("text")))
             lengths = np.diff(bounds)
             doc, start, size = cut(lengths, capacity)

@@ -26,6 +26,8 @@ from .passages import single_spaced
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+#: Text bytes sketched at a time: shingles pass through Python lists.
+TEXT_BYTES = 2 << 20
 #: Members of a bucket beyond which its rows are dealt out by finer keys.
 BUCKET = 2048
 #: Blocks compared in one step of numpy work.
@@ -89,7 +91,7 @@ def sketches(docs: DataFrame, route: int, width: int, words: int) -> DataFrame:
     fingerprints of 64 bits over ``width``-word shingles, their hashes remixed from one XXH64."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", TEXT_BYTES):
             routes = majority(*_shingle_hashes(part.column("text"), route))
             hashes, bounds = _shingle_hashes(part.column("text"), width)
             cols = [majority(mix(hashes ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF)), bounds) for k in range(words)]
