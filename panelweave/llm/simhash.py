@@ -28,7 +28,7 @@ LOWER[65:91] += 32
 
 #: Text bytes sketched at a time: shingles pass through Python lists.
 TEXT_BYTES = 2 << 20
-#: Members of a bucket beyond which its rows are dealt out by finer keys.
+#: Members of a bucket beyond which its rows are dealt out by finer keys, where these lose no link.
 BUCKET = 2048
 #: Blocks compared in one step of numpy work.
 PAIRS = 1 << 17
@@ -182,7 +182,12 @@ def bucket_links(size: np.ndarray, words: list[np.ndarray], radius: int) -> np.n
 
 
 def _meet(radius: int, words: int, finer):
-    """Rows sorted by key to links (open 0), or to rows under finer keys where a bucket is too large (open 1)."""
+    """Rows sorted by key to links (open 0), or to rows under finer keys where a bucket is too large (open 1).
+
+    Without finer keys a bucket of any size is compared whole: its first members link a dense one in
+    about one pass.
+    """
+    most = BUCKET if finer else 1 << 62
     names = ["key", "fixed", "node", "route", *(f"f{k}" for k in range(words))]
     fields = [*names, "other", "open"]
 
@@ -194,13 +199,13 @@ def _meet(radius: int, words: int, finer):
         key = rows["key"]
         head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         size = np.diff(np.append(head, len(key)))
-        big = np.repeat(size > BUCKET, size)
+        big = np.repeat(size > most, size)
         if big.any():
             yield dealt({c: x[big] for c, x in rows.items()})
-        fit = np.repeat((size > 1) & (size <= BUCKET), size)
+        fit = np.repeat((size > 1) & (size <= most), size)
         if fit.any():
             node = rows["node"][fit]
-            label = bucket_links(size[(size > 1) & (size <= BUCKET)], [rows[f"f{k}"][fit].view(np.uint64) for k in range(words)], radius)
+            label = bucket_links(size[(size > 1) & (size <= most)], [rows[f"f{k}"][fit].view(np.uint64) for k in range(words)], radius)
             linked = label != np.arange(len(label))
             yield batch({"node": node[linked], "other": node[label[linked]]}, int(linked.sum()))
 
@@ -232,7 +237,7 @@ def _meet(radius: int, words: int, finer):
             if cut:
                 yield from solved({c: x[:cut] for c, x in rows.items()})
             kept = {c: x[cut:] for c, x in rows.items()}
-            if len(key) - cut > BUCKET:
+            if len(key) - cut > most:
                 yield dealt(kept)
                 dealing, kept = key[-1], None
         if kept is not None:
@@ -241,9 +246,9 @@ def _meet(radius: int, words: int, finer):
     return run, ", ".join(f"{c} long" for c in fields)
 
 
-def links(rows: DataFrame, radius: int, words: int, finer) -> DataFrame:
+def links(rows: DataFrame, radius: int, words: int, finer=None) -> DataFrame:
     """Links (a, b) among rows (key, fixed, node, route, f0, ...) that share a key and lie within
-    the radius, as spanning links per bucket; rows of large buckets go on under finer keys."""
+    the radius, as spanning links per bucket; rows of large buckets go on under finer keys, if any."""
     run, schema = _meet(radius, words, finer)
     found = []
     while True:
@@ -326,7 +331,6 @@ RADIUS = 45
 #: Keys sample this many bits of a 2-word fingerprint, in which near copies differ in 4 to 9 of 64.
 ROUTE = 2
 TABLES, KEY_BITS = 32, 18
-FINER_TABLES, FINER_BITS = 8, 10
 
 
 def _samples(seed: int, tables: int, bits: int) -> list[int]:
@@ -334,19 +338,6 @@ def _samples(seed: int, tables: int, bits: int) -> list[int]:
     return [sum(1 << int(b) for b in rng.choice(64, bits, replace=False)) for _ in range(tables)]
 
 
-def _finer_sampled(rows: dict) -> dict:
-    """Keys on further samples of the routing bits; ``fixed`` counts the rounds and seeds them."""
-    out = []
-    for level in np.unique(rows["fixed"]):
-        mine = rows["fixed"] == level
-        for k, m in enumerate(_samples(1000 + int(level), FINER_TABLES, FINER_BITS)):
-            part = {c: x[mine] for c, x in rows.items()}
-            part["key"] = mix(part["key"].view(np.uint64) ^ mix((part["route"].view(np.uint64) & np.uint64(m)) + np.uint64(k))).view(np.int64)
-            part["fixed"] = part["fixed"] + 1
-            out.append(part)
-    return {c: np.concatenate([x[c] for x in out]) for c in rows}
-
-
 def near_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id): groups of documents whose 5-word shingles are alike to 0.8 or more.
 
@@ -360,7 +351,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     masks = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(signed(m)).cast("long").alias("m")) for k, m in enumerate(_samples(7, TABLES, KEY_BITS))))
     keyed = nodes.select("*", F.explode(masks).alias("t"))
     rows = keyed.select(F.xxhash64("t.k", F.col("route").bitwiseAND(F.col("t.m"))).alias("key"), F.lit(0).cast("long").alias("fixed"), "node", "route", *bits)
-    roots = components(links(rows, RADIUS, SKETCH_WORDS, _finer_sampled))
+    roots = components(links(rows, RADIUS, SKETCH_WORDS))
     by_node = nodes.join(roots, "node", "left").select("route", *bits, F.coalesce("root", "node").alias("component_id"))
     return sketch.join(by_node, ["route", *bits]).select("doc_id", "component_id")
 

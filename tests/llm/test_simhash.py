@@ -97,6 +97,20 @@ def test_large_buckets_are_dealt_out_without_losing_links(spark, monkeypatch):
     assert pairs and pairs <= together
 
 
+def test_a_bucket_of_one_route_is_compared_whole(spark):
+    rng = np.random.default_rng(4)
+    n = simhash.BUCKET + 500
+    fps = np.repeat(rng.integers(0, 1 << 63, (1, 4)), n, axis=0)
+    for k in range(10):  # two copies differ in at most 20 bits
+        fps[np.arange(n), rng.integers(0, 4, n)] ^= 1 << rng.integers(0, 63, n)
+    rows = spark.createDataFrame([(5, 0, i, 9, *map(int, f)) for i, f in enumerate(fps)], "key long, fixed long, node long, route long, f0 long, f1 long, f2 long, f3 long")
+    assert len(np.unique(fps, axis=0)) > simhash.BUCKET
+    got = simhash._meet(simhash.RADIUS, simhash.SKETCH_WORDS, None)[0]
+    out = [r for b in got(iter(rows.toArrow().to_batches(max_chunksize=700))) for r in b.to_pylist()]
+    assert {r["node"] for r in out} == set(range(1, n)) and not any(r["open"] for r in out)
+    assert {r.root for r in components(simhash.links(rows, simhash.RADIUS, simhash.SKETCH_WORDS)).collect()} == {0}
+
+
 def test_components_of_chains_stars_and_self_links(spark):
     chain = [(i, i + 1) for i in range(0, 60)]
     star = [(100, i) for i in range(101, 140)] + [(139, 100)]
