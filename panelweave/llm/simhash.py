@@ -86,19 +86,32 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
+def _distinct(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's hashes in order and once."""
+    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    order = np.lexsort((hashes, row))
+    hashes, row = hashes[order], row[order]
+    first = np.ones(len(row), bool)
+    first[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
+    return hashes[first], np.append(0, np.cumsum(np.bincount(row[first], minlength=len(bounds) - 1)))
+
+
 def sketches(docs: DataFrame, route: int, width: int, words: int) -> DataFrame:
-    """(doc_id, route, f0, f1, ...): a routing fingerprint over ``route``-word shingles and ``words``
-    fingerprints of 64 bits over ``width``-word shingles, their hashes remixed from one XXH64."""
+    """(doc_id, text_hash, route, f0, f1, ..., same) of docs (doc_id, text_hash, text): a routing
+    fingerprint over ``route``-word shingles, ``words`` fingerprints of 64 bits over the distinct
+    ``width``-word shingles, their hashes remixed from one XXH64, and a hash of the set of these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", TEXT_BYTES):
-            routes = majority(*_shingle_hashes(part.column("text"), route))
-            hashes, bounds = _shingle_hashes(part.column("text"), width)
+            routes = majority(*_distinct(*_shingle_hashes(part.column("text"), route)))
+            hashes, bounds = _distinct(*_shingle_hashes(part.column("text"), width))
             cols = [majority(mix(hashes ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF)), bounds) for k in range(words)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x.view(np.int64)) for x in (routes, *cols))], names=["doc_id", "route", *(f"f{k}" for k in range(words))])
+            total = np.append(np.uint64(0), np.cumsum(mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64))
+            cols = [routes, *cols, total[bounds[1:]] - total[bounds[:-1]]]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), *(pa.array(x.view(np.int64)) for x in cols)], names=names)
 
-    fields = ", ".join(f"f{k} long" for k in range(words))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, route long, {fields}")
+    names = ["doc_id", "text_hash", "route", *(f"f{k}" for k in range(words)), "same"]
+    return docs.select("doc_id", "text_hash", "text").mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 # ------------------------------------------------------------------ bit-sliced comparison
@@ -182,12 +195,7 @@ def bucket_links(size: np.ndarray, words: list[np.ndarray], radius: int) -> np.n
 
 
 def _meet(radius: int, words: int, finer):
-    """Rows sorted by key to links (open 0), or to rows under finer keys where a bucket is too large (open 1).
-
-    Without finer keys a bucket of any size is compared whole: its first members link a dense one in
-    about one pass.
-    """
-    most = BUCKET if finer else 1 << 62
+    """Rows sorted by key to links (open 0), or to rows under finer keys where a bucket is too large (open 1)."""
     names = ["key", "fixed", "node", "route", *(f"f{k}" for k in range(words))]
     fields = [*names, "other", "open"]
 
@@ -199,13 +207,13 @@ def _meet(radius: int, words: int, finer):
         key = rows["key"]
         head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         size = np.diff(np.append(head, len(key)))
-        big = np.repeat(size > most, size)
+        big = np.repeat(size > BUCKET, size)
         if big.any():
             yield dealt({c: x[big] for c, x in rows.items()})
-        fit = np.repeat((size > 1) & (size <= most), size)
+        fit = np.repeat((size > 1) & (size <= BUCKET), size)
         if fit.any():
             node = rows["node"][fit]
-            label = bucket_links(size[(size > 1) & (size <= most)], [rows[f"f{k}"][fit].view(np.uint64) for k in range(words)], radius)
+            label = bucket_links(size[(size > 1) & (size <= BUCKET)], [rows[f"f{k}"][fit].view(np.uint64) for k in range(words)], radius)
             linked = label != np.arange(len(label))
             yield batch({"node": node[linked], "other": node[label[linked]]}, int(linked.sum()))
 
@@ -237,7 +245,7 @@ def _meet(radius: int, words: int, finer):
             if cut:
                 yield from solved({c: x[:cut] for c, x in rows.items()})
             kept = {c: x[cut:] for c, x in rows.items()}
-            if len(key) - cut > most:
+            if len(key) - cut > BUCKET:
                 yield dealt(kept)
                 dealing, kept = key[-1], None
         if kept is not None:
@@ -246,9 +254,9 @@ def _meet(radius: int, words: int, finer):
     return run, ", ".join(f"{c} long" for c in fields)
 
 
-def links(rows: DataFrame, radius: int, words: int, finer=None) -> DataFrame:
+def links(rows: DataFrame, radius: int, words: int, finer) -> DataFrame:
     """Links (a, b) among rows (key, fixed, node, route, f0, ...) that share a key and lie within
-    the radius, as spanning links per bucket; rows of large buckets go on under finer keys, if any."""
+    the radius, as spanning links per bucket; rows of large buckets go on under finer keys."""
     run, schema = _meet(radius, words, finer)
     found = []
     while True:
@@ -323,14 +331,20 @@ def near_components(docs: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ near copies at a similarity
-#: Near copies: 5-word shingles with similarity 0.8 or more.  At 0.8 the angle between shingle
-#: vectors is about 27 degrees, 39 of 256 bits; the radius allows for the spread of that figure.
-SHINGLE = 5
+#: Near copies: sets of 5-word shingles with a Jaccard similarity of ALIKE or more.
+SHINGLE, ALIKE = 5, 0.8
+#: Candidates: at 0.8 the angle between shingle sets is about 27 degrees, 39 of 256 bits with a
+#: deviation of 6; the radius is three of these beyond.
 SKETCH_WORDS = 4
-RADIUS = 45
-#: Keys sample this many bits of a 2-word fingerprint, in which near copies differ in 4 to 9 of 64.
+RADIUS = 58
+#: Keys sample this many bits of a 2-word fingerprint, in which near copies differ in 4 to 11 of 64.
 ROUTE = 2
-TABLES, KEY_BITS = 32, 18
+TABLES, KEY_BITS = 48, 14
+#: Partners that a member of a bucket proposes at first, and the factor from round to round.
+PROPOSE, GROWTH = 2, 4
+#: Blocks compared in the first step over some buckets and at most; members found full leave the later ones.
+FIRST_PAIRS, MOST_PAIRS = 1 << 12, 1 << 15
+NONE_LEFT = (1 << 63) - 1
 
 
 def _samples(seed: int, tables: int, bits: int) -> list[int]:
@@ -338,22 +352,168 @@ def _samples(seed: int, tables: int, bits: int) -> list[int]:
     return [sum(1 << int(b) for b in rng.choice(64, bits, replace=False)) for _ in range(tables)]
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, component_id): groups of documents whose 5-word shingles are alike to 0.8 or more.
+def bucket_pairs(size: np.ndarray, words: list[np.ndarray], radius: int, order: np.ndarray, label: np.ndarray, cursor: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (earlier, later) within the radius and of different labels, over buckets laid end to end
+    and sorted by ``order``: each member's first ``most`` partners whose order is past its cursor.
+    With the new cursors, NONE_LEFT where no partner is left."""
+    n = int(size.sum())
+    at = np.arange(n) - np.repeat(np.cumsum(size) - size, size)
+    blocks = -(-size // 64)
+    of = np.repeat(np.cumsum(blocks) - blocks, size) + at // 64
+    lane = (at % 64).astype(np.uint64)
+    heads = np.flatnonzero(at % 64 == 0)
+    planes = np.stack([np.bitwise_or.reduceat((w >> np.uint64(p) & ONE) << lane, heads) for w in words for p in range(64)])
+    valid = np.bitwise_or.reduceat(ONE << lane, heads)
+    low, high = np.minimum.reduceat(label, heads), np.maximum.reduceat(label, heads)
+    ahead = np.repeat(blocks, size) - at // 64
+    turn = np.argsort(at, kind="stable")
+    done = np.append(0, np.cumsum(ahead[turn]))
+    count, last, found = np.zeros(n, np.int64), cursor.copy(), []
+    lo, step = 0, FIRST_PAIRS
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(done, done[lo] + step, "right")) - 1)
+        mine = turn[lo:hi]
+        query = np.repeat(mine, ahead[mine])
+        block = of[query] + np.arange(len(query)) - np.repeat(np.cumsum(ahead[mine]) - ahead[mine], ahead[mine])
+        wanting = np.minimum.reduceat(count, heads) <= most
+        open_ = wanting[block] & ((low[block] != label[query]) | (high[block] != label[query]))
+        query, block, near = _near(planes, valid, words, query[open_], block[open_], radius)
+        rows, lanes = np.nonzero(np.unpackbits(near.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+        a, b = query[rows], heads[block[rows]] + lanes
+        keep = (a < b) & (label[a] != label[b]) & (order[a] > cursor[b]) & (count[b] <= most)
+        a, b = a[keep], b[keep]
+        if len(a):
+            by = np.lexsort((a, b))
+            a, b = a[by], b[by]
+            head = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
+            many = np.diff(np.append(head, len(b)))
+            take = np.arange(len(b)) - np.repeat(head, many) + count[b] < most
+            found.append((a[take], b[take]))
+            np.maximum.at(last, b[take], order[a[take]])
+            count[b[head]] += many
+        lo, step = hi, min(2 * step, MOST_PAIRS)
+    left, right = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+    return left, right, np.where(count > most, last, NONE_LEFT)
+
+
+def _proposals(words: int, radius: int, most: int):
+    """Rows sorted by key and order to pairs (open 0), and the rows of buckets with partners left (open 1)."""
+    names = ["key", "ord", "node", "label", "cursor", *(f"f{k}" for k in range(words))]
+    fields = [*names, "other", "open"]
+
+    def batch(columns: dict, n: int) -> pa.RecordBatch:
+        zero = np.zeros(n, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(columns.get(c, zero)) for c in fields], names=fields)
+
+    def solved(parts: list[dict]) -> Iterator[pa.RecordBatch]:
+        rows = {c: np.concatenate([x[c] for x in parts]) for c in names}
+        head = np.flatnonzero(np.append(True, rows["key"][1:] != rows["key"][:-1]))
+        size = np.diff(np.append(head, len(rows["key"])))
+        fit = np.repeat(size > 1, size)
+        size = size[size > 1]
+        if not len(size):
+            return
+        rows = {c: x[fit] for c, x in rows.items()}
+        a, b, cursor = bucket_pairs(size, [rows[f"f{k}"].view(np.uint64) for k in range(words)], radius, rows["ord"], rows["label"], rows["cursor"], most)
+        yield batch({"node": rows["node"][b], "other": rows["node"][a]}, len(a))
+        more = np.repeat(np.logical_or.reduceat(cursor != NONE_LEFT, np.cumsum(size) - size), size)
+        if more.any():
+            n = int(more.sum())
+            yield batch({c: x[more] for c, x in (rows | {"cursor": cursor}).items()} | {"open": np.ones(n, np.int64)}, n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[dict] = []  # rows of the last key
+        for part in batches:
+            rows = {c: part.column(c).to_numpy(zero_copy_only=False) for c in names}
+            if not len(rows["key"]):
+                continue
+            cut = int(np.searchsorted(rows["key"], rows["key"][-1]))
+            if cut or kept and kept[-1]["key"][-1] != rows["key"][0]:
+                yield from solved([*kept, {c: x[:cut] for c, x in rows.items()}])
+                kept = []
+            kept.append({c: x[cut:] for c, x in rows.items()})
+        if kept:
+            yield from solved(kept)
+
+    return run, ", ".join(f"{c} long" for c in fields)
+
+
+def _shingle_sets(texts: DataFrame) -> DataFrame:
+    """(node, shingles) of texts (node, text): the sorted hashes of the distinct shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", TEXT_BYTES):
+            hashes, bounds = _distinct(*_shingle_hashes(part.column("text"), SHINGLE))
+            raw = hashes.tobytes()
+            sets = pa.array([raw[8 * a : 8 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("node"), sets], names=["node", "shingles"])
+
+    return texts.mapInArrow(run, "node long, shingles binary")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have a Jaccard similarity of ALIKE or more."""
 
-    Candidates share sampled bits of a 2-word SimHash; a link needs at most RADIUS of 256 bits of
-    the 5-word SimHash to differ.  Copies are one node.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            good = []
+            for x, y in zip(part.column("x"), part.column("y")):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                if min(len(x), len(y)) < ALIKE * max(len(x), len(y)) - 1e-9:
+                    good.append(False)
+                    continue
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= ALIKE * (len(x) + len(y) - both) - 1e-9)
+            yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def _near_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, node, root) for every row of docs (doc_id, text_hash, text).
+
+    Candidates share sampled bits of a 2-word SimHash and differ in at most RADIUS of 256 bits of the
+    5-word SimHash; a link is a candidate whose shingle sets are alike to 0.8.  Equal sets are one node.
+    Each member of a bucket proposes its first partners; those that stay apart propose the next ones,
+    till every candidate is linked, by whatever way, or compared.
     """
-    sketch = staged(sketches(docs.filter(F.col("doc_id").isNotNull()), ROUTE, SHINGLE, SKETCH_WORDS), "sketches")
     bits = [f"f{k}" for k in range(SKETCH_WORDS)]
-    nodes = staged(sketch.groupBy("route", *bits).agg(F.min("doc_id").alias("node")), "nodes")
+    node = F.xxhash64("same", "route", *bits).alias("node")
+    sketch = staged(sketches(docs, ROUTE, SHINGLE, SKETCH_WORDS).select("doc_id", "text_hash", node, "route", *bits), "sketches")
+    nodes = sketch.groupBy("node", "route", *bits).agg(F.min(F.struct("doc_id", "text_hash")).alias("best"))
+    nodes = staged(nodes.select("node", "route", *bits, "best.*"), "nodes")
     signed = lambda m: m - (1 << 64) if m >> 63 else m
     masks = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(signed(m)).cast("long").alias("m")) for k, m in enumerate(_samples(7, TABLES, KEY_BITS))))
     keyed = nodes.select("*", F.explode(masks).alias("t"))
-    rows = keyed.select(F.xxhash64("t.k", F.col("route").bitwiseAND(F.col("t.m"))).alias("key"), F.lit(0).cast("long").alias("fixed"), "node", "route", *bits)
-    roots = components(links(rows, RADIUS, SKETCH_WORDS))
-    by_node = nodes.join(roots, "node", "left").select("route", *bits, F.coalesce("root", "node").alias("component_id"))
-    return sketch.join(by_node, ["route", *bits]).select("doc_id", "component_id")
+    key = F.xxhash64("t.k", F.col("route").bitwiseAND(F.col("t.m"))).alias("key")
+    rows = keyed.select(key, F.xxhash64("node").alias("ord"), "node", F.col("node").alias("label"), F.lit(-NONE_LEFT - 1).cast("long").alias("cursor"), *bits)
+    texts = docs.select("doc_id", "text_hash", "text")
+    found, most = [], PROPOSE
+    while True:
+        run, schema = _proposals(SKETCH_WORDS, RADIUS, most)
+        met = staged(rows.repartition(parts_for(rows), "key").sortWithinPartitions("key", "ord").mapInArrow(run, schema), "buckets")
+        pairs = staged(met.filter("open = 0").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct(), "candidates")
+        asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        asked = asked.join(nodes.select("node", "doc_id", "text_hash"), "node")
+        asked = texts.join(asked, ["doc_id", "text_hash"]).select("node", "text").dropDuplicates(["node"])
+        found.append(staged(_alike(pairs, staged(_shingle_sets(asked), "shingles")), "alike"))
+        roots = staged(components(reduce(DataFrame.union, found)), "roots")
+        rows = met.filter("open = 1").select(*rows.columns)
+        if rows.isEmpty():
+            break
+        label = F.coalesce("root", "node").alias("label")
+        rows = rows.drop("label").join(roots, "node", "left").select("key", "ord", "node", label, "cursor", *bits)
+        most *= GROWTH
+    return sketch.join(roots, "node", "left").select("doc_id", "text_hash", "node", F.coalesce("root", "node").alias("root"))
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, component_id): groups of documents, linked where their 5-word shingles are alike to 0.8 or more."""
+    own = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    rows = _near_rows(own)
+    return rows.join(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -97,18 +98,20 @@ def test_large_buckets_are_dealt_out_without_losing_links(spark, monkeypatch):
     assert pairs and pairs <= together
 
 
-def test_a_bucket_of_one_route_is_compared_whole(spark):
+def test_a_bucket_of_one_route_is_compared_whole():
     rng = np.random.default_rng(4)
     n = simhash.BUCKET + 500
     fps = np.repeat(rng.integers(0, 1 << 63, (1, 4)), n, axis=0)
     for k in range(10):  # two copies differ in at most 20 bits
         fps[np.arange(n), rng.integers(0, 4, n)] ^= 1 << rng.integers(0, 63, n)
-    rows = spark.createDataFrame([(5, 0, i, 9, *map(int, f)) for i, f in enumerate(fps)], "key long, fixed long, node long, route long, f0 long, f1 long, f2 long, f3 long")
     assert len(np.unique(fps, axis=0)) > simhash.BUCKET
-    got = simhash._meet(simhash.RADIUS, simhash.SKETCH_WORDS, None)[0]
-    out = [r for b in got(iter(rows.toArrow().to_batches(max_chunksize=700))) for r in b.to_pylist()]
-    assert {r["node"] for r in out} == set(range(1, n)) and not any(r["open"] for r in out)
-    assert {r.root for r in components(simhash.links(rows, simhash.RADIUS, simhash.SKETCH_WORDS)).collect()} == {0}
+    rows = {"key": np.full(n, 5), "ord": np.arange(n), "node": np.arange(n), "label": np.arange(n), "cursor": np.full(n, -1), **{f"f{k}": fps[:, k] for k in range(4)}}
+    table = pa.table({c: pa.array(x.astype(np.int64)) for c, x in rows.items()})
+    out = [r for b in simhash._proposals(4, 20, 1)[0](iter(table.to_batches(max_chunksize=700))) for r in b.to_pylist()]
+    assert {(r["node"], r["other"]) for r in out if not r["open"]} == {(i, 0) for i in range(1, n)}
+    assert sorted(r["node"] for r in out if r["open"]) == list(range(n))  # all go on, with their labels
+    joined = table.set_column(3, "label", pa.array(np.zeros(n, np.int64)))
+    assert not sum(b.num_rows for b in simhash._proposals(4, 20, 4)[0](iter(joined.to_batches())))
 
 
 def test_components_of_chains_stars_and_self_links(spark):
@@ -144,3 +147,40 @@ def test_edges(make, edge):
     ids = [r.doc_id for r in kept.collect()]
     assert kept.columns == docs.columns and ids.count(7) == 1 and ids.count(None) == 1 and {4, 9, 10} <= set(ids) and not {5, 13} & set(ids)
     assert simhash.near_components(docs.limit(0)).count() == simhash.drop_near_copies(docs.limit(0)).count() == 0
+
+
+def test_near_copies_are_held_to_the_similarity(make):
+    rng = random.Random(21)
+    vocab = [f"u{i}" for i in range(3000)]
+    rows = []
+    for g in range(150):
+        w = [rng.choice(vocab) for _ in range(300)]
+        x = list(w)
+        for i in rng.sample(range(300), rng.randint(2, 16)):  # about 0.6 to 0.97
+            x[i] = rng.choice(vocab)
+        rows += [(2 * g, " ".join(w)), (2 * g + 1, " ".join(x))]
+    sets = {d: {tuple(t.split()[i : i + 5]) for i in range(296)} for d, t in rows}
+    alike = {d: len(sets[d] & sets[d - 1]) / len(sets[d] | sets[d - 1]) for d in sets if d % 2}
+    kept = {r.doc_id for r in simhash.drop_near_copies(make(rows)).collect()}
+    assert {d for d in alike if d not in kept} == {d for d, s in alike.items() if s >= 0.8}
+    assert sum(0.7 <= s < 0.8 for s in alike.values()) > 20 < sum(0.8 <= s < 0.9 for s in alike.values())
+
+
+def test_proposals_go_on_till_every_candidate_is_met(make):
+    rng = random.Random(22)
+    vocab = [f"u{i}" for i in range(3000)]
+    base = [rng.choice(vocab) for _ in range(300)]
+    rows = []
+    for d in range(60):  # each alike to the next, not to the others
+        for i in range(4 * d, 4 * d + 4):
+            base[i * 7 % 300] = rng.choice(vocab)
+        rows.append((d, " ".join(base)))
+    sets = {d: {tuple(t.split()[i : i + 5]) for i in range(296)} for d, t in rows}
+    root = {d: d for d in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                lo, hi = sorted((root[a], root[b]))
+                root = {d: lo if r == hi else r for d, r in root.items()}
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(make(rows)).collect()}
+    assert got == root
