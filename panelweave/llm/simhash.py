@@ -472,7 +472,8 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _near_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, node, root) for every row of docs (doc_id, text_hash, text).
+    """(doc_id, text_hash, node, root) for every row of docs (doc_id, text_hash, text), where rows of
+    one id and hash hold one text.
 
     Candidates share sampled bits of a 2-word SimHash and differ in at most RADIUS of 256 bits of the
     5-word SimHash; a link is a candidate whose shingle sets are alike to 0.8.  Equal sets are one node.
@@ -517,10 +518,13 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group of near copies: that with the smallest doc_id.
+    """``docs`` with one row of each group of near copies: that with the smallest doc_id.
 
-    Rows that share that doc_id count as one; rows without a doc_id stay.
+    Rows that share an id count by their texts; of those in one group the smallest hash of the whole
+    row stays, so the choice is the same in every run.  Rows without a doc_id stay.
     """
-    first = near_copies(docs.select("doc_id", "text")).filter("doc_id = component_id").select("doc_id").distinct()
-    own = docs.join(first.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return own.unionByName(docs.filter(F.col("doc_id").isNull()))
+    own = docs.filter(F.col("doc_id").isNotNull()).withColumn("_row", F.xxhash64(*docs.columns))
+    rows = _near_rows(own.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_row").alias("text_hash"), "text"))
+    first = rows.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("best")).select("best.doc_id", F.col("best.text_hash").alias("_row"))
+    own = own.join(first.hint("shuffle_hash"), ["doc_id", "_row"], "left_semi").dropDuplicates(["doc_id", "_row"])
+    return own.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))

@@ -184,3 +184,15 @@ def test_proposals_go_on_till_every_candidate_is_met(make):
                 root = {d: lo if r == hi else r for d, r in root.items()}
     got = {r.doc_id: r.component_id for r in simhash.near_copies(make(rows)).collect()}
     assert got == root
+
+
+def test_rows_of_one_id_are_decided_by_their_texts(make):
+    rng = random.Random(23)
+    one, two, three = (" ".join(f"q{rng.randrange(900)}" for _ in range(80)) for _ in range(3))
+    rows = [(7, one), (7, two), (7, two.upper()), (8, two + " end"), (9, three), (9, one + " end")]
+    for order in (rows, rows[::-1]):
+        got = sorted((r.doc_id, r.text) for r in simhash.drop_near_copies(make(order)).collect())
+        assert len(got) == 3 and (7, one) in got and (9, three) in got
+        same = [t for d, t in got if d == 7 and t != one]
+        assert order is rows or same == first
+        first = same
