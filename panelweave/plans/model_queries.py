@@ -2,28 +2,39 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from ..operators import features as fx
 from ..operators import models as md
 from ..operators import quality as ql
 from ..session import stage_table
 from . import views as v
 from .catalog import register
+from .feature_queries import MACRO_COLS
 
-H = 21
-# Three-yearly refits of small trees over every entity and date: the default config refits monthly.
-CFG = md.ModelConfig(oos_start="1998-01-01", step=756, trees=3, depth=3)
-INPUTS = ["momentum_5d", "momentum_20d", "ma20_ratio", "rsi_14", "bb_position", "volume_ratio"]
+H, HORIZONS = 21, (21, 63, 126)
+CFG = md.ModelConfig(oos_start="1998-01-01")
 
 
 def model_panel(spark, sf):
     def build():
-        df = fx.moving_averages(v.bars(spark, sf), (20,))
-        df = fx.bollinger(fx.rsi(fx.momentum(fx.volume_ratio(df), (5, 20)), (14,)))
-        return fx.add_targets(df, (H,)).select("entity", "region", "ts", "open", "close", *INPUTS, f"target_{H}d")
+        bars = v.bars(spark, sf)
+        df = fx.build_features(bars, v.benchmark(bars), v.vix(spark, sf), v.macro(spark, sf), MACRO_COLS)
+        return fx.add_targets(df, HORIZONS)
 
     return stage_table(spark, f"{sf}/model_panel", build)
 
 
+def each_horizon(spark, sf, run):
+    """``run`` (panel, inputs, target, horizon) for every horizon, in one table."""
+    panel = model_panel(spark, sf)
+    inputs = fx.feature_columns(panel)
+    return reduce(DataFrame.unionByName, [run(panel, inputs, f"target_{h}d", h) for h in HORIZONS])
+
+
 @register(
     "fold_plan", "M1",
     f"""WITH {v.BARS}, d AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT ts FROM bars)),
@@ -39,7 +50,8 @@ def _(spark, sf):
 
 
 def predictions(spark, sf):
-    return stage_table(spark, f"{sf}/walk_forward", lambda: md.walk_forward(model_panel(spark, sf), INPUTS, f"target_{H}d", CFG, H))
+    fit = lambda panel, inputs, target, h: md.walk_forward(panel, inputs, target, CFG, h)
+    return stage_table(spark, f"{sf}/walk_forward", lambda: each_horizon(spark, sf, fit))
 
 
 @register("walk_forward", "M2 M3 M5", None, "entity ts test_start test_end", "horizon actual pred", "prob_raw prob_cal")
@@ -47,16 +59,24 @@ def _(spark, sf):
     return predictions(spark, sf)
 
 
-@register("fold_audit", "A35", None, "entity train_start train_end cal_start cal_end test_start test_end")
+def fold_bounds(panel, inputs, target, h):
+    """The folds of each entity that has rows in the test block: dates alone, no fit."""
+    frame = panel.dropna(subset=[*inputs, target]).select("entity", "ts")
+    tested = frame.join(md.fold_plan(frame, CFG, h), F.col("ts").between(F.col("test_start"), F.col("test_end")))
+    return ql.fold_audit(tested.withColumn("horizon", F.lit(h)))
+
+
+@register("fold_audit", "A35", None, "entity train_start train_end cal_start cal_end test_start test_end", "horizon")
 def _(spark, sf):
-    return ql.fold_audit(predictions(spark, sf))
+    return each_horizon(spark, sf, fold_bounds)
 
 
 def signal(spark, sf):
-    return stage_table(spark, f"{sf}/signal", lambda: md.current_signal(model_panel(spark, sf), INPUTS, f"target_{H}d", CFG, H))
+    live = lambda panel, inputs, target, h: md.current_signal(panel, inputs, target, CFG, h).withColumn("horizon", F.lit(h))
+    return stage_table(spark, f"{sf}/signal", lambda: each_horizon(spark, sf, live))
 
 
-@register("current_signal", "M6", None, "entity ts prediction", "", "prob_up prob_up_raw")
+@register("current_signal", "M6", None, "entity ts prediction", "horizon", "prob_up prob_up_raw")
 def _(spark, sf):
     return signal(spark, sf)
 
