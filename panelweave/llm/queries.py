@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, fmindex, langid, lpf, mixing, packing, quality, rules, simhash, toxicity
+from . import ann, fmindex, langid, lpf, mixing, packing, quality, rules, simhash, tiles, toxicity
 from .common import fold, held_out, table
 from .features import labelled
 
@@ -151,3 +151,22 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors to each whose id is divisible by 50."""
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+LINKS_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE len(e) > 0 AND list_count(e) = len(e) AND len(list_filter(e, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a, ok b WHERE a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a),
+c AS (SELECT a, least(a, min(b)) AS root FROM r GROUP BY a)
+SELECT v.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, coalesce(c.root, v.vec_id) AS component_id, coalesce(c.root, v.vec_id) = v.vec_id AS kept
+FROM v LEFT JOIN n ON n.a = v.vec_id LEFT JOIN c ON c.a = v.vec_id
+"""
+
+
+@query("op13_embedding_near_dedup", LINKS_SQL)
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at a cosine of 0.95 or more."""
+    return tiles.near_vectors(table(spark, sf_dir, "embeddings"))
