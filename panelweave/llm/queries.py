@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, fmindex, langid, lpf, mixing, packing, quality, rules, simhash, tiles, toxicity
+from . import ann, codes, fmindex, langid, lpf, mixing, packing, quality, rules, simhash, tiles, toxicity
 from .common import fold, held_out, table
 from .features import labelled
 
@@ -170,3 +170,38 @@ FROM v LEFT JOIN n ON n.a = v.vec_id LEFT JOIN c ON c.a = v.vec_id
 def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all vectors at a cosine of 0.95 or more."""
     return tiles.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+_NEAR = """
+{name} AS MATERIALIZED (
+  SELECT rid, p, min(struct_pack(d := d, e := e)) AS best FROM (
+    SELECT x.rid, x.p, c.e, list_sum(list_transform(list_zip(x.v, c.v), lambda q: (q[1] - q[2]) * (q[1] - q[2])))::BIGINT AS d FROM x JOIN {books} c ON c.p = x.p)
+  GROUP BY rid, p)"""
+_MOVED = """
+{name} AS MATERIALIZED (
+  SELECT p, e, list(CASE WHEN n IS NULL THEN old ELSE CAST(floor(CAST(total AS DOUBLE) / n) AS BIGINT) END ORDER BY k) AS v FROM (
+    SELECT c.p, c.e, k, c.v[k] AS old, s.total, s.n FROM (SELECT *, unnest(range(1, len(v) + 1)) AS k FROM {books}) c
+    LEFT JOIN (SELECT p, e, k, sum(c) AS total, count(*) AS n FROM (
+        SELECT x.p, a.best.e AS e, unnest(range(1, len(x.v) + 1)) AS k, unnest(x.v) AS c FROM x JOIN {near} a ON a.rid = x.rid AND a.p = x.p) GROUP BY p, e, k) s USING (p, e, k))
+  GROUP BY p, e)"""
+CODES_SQL = f"""
+WITH r AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, label, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS v, len(embedding) // 16 AS w
+  FROM embeddings WHERE list_count(embedding) = len(embedding) AND len(list_filter(embedding, lambda c: NOT isfinite(c))) = 0),
+x AS MATERIALIZED (SELECT rid, p, v[p * w + 1 : p * w + w] AS v FROM (SELECT *, unnest(range(16)) AS p FROM r)),
+c0 AS MATERIALIZED (SELECT p, rid - 1 AS e, v FROM x WHERE rid <= 64),
+{_NEAR.format(name="a0", books="c0")}, {_MOVED.format(name="c1", books="c0", near="a0")},
+{_NEAR.format(name="a1", books="c1")}, {_MOVED.format(name="c2", books="c1", near="a1")},
+{_NEAR.format(name="a2", books="c2")},
+o AS (SELECT rid, string_agg(lpad(lower(hex(best.e)), 2, '0'), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a2 GROUP BY rid),
+g AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS sha FROM c2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, sha AS codebooks_sha256 FROM r JOIN o USING (rid), g
+"""
+
+
+@query("op11_vector_codes", CODES_SQL)
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of sixteen parts for every usable vector, with exact errors."""
+    coded, books = codes.compress(table(spark, sf_dir, "embeddings"))
+    digest = F.lit(books.sha256() if books else None).cast("string")
+    return coded.select(F.col("id").alias("vec_id"), F.lower(F.hex("code")).alias("code"), "error", "label_error", digest.alias("codebooks_sha256"))
