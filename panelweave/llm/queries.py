@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, codes, fmindex, langid, lpf, mixing, packing, quality, rules, simhash, tiles, toxicity
-from .common import fold, held_out, table
+from . import ann, codes, fmindex, langid, lpf, mixing, packing, quality, repair, rules, simhash, tiles, toxicity
+from .common import WORD_GAP, fold, held_out, table
 from .features import labelled
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -205,3 +205,33 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, books = codes.compress(table(spark, sf_dir, "embeddings"))
     digest = F.lit(books.sha256() if books else None).cast("string")
     return coded.select(F.col("id").alias("vec_id"), F.lower(F.hex("code")).alias("code"), "error", "label_error", digest.alias("codebooks_sha256"))
+
+
+def planted(text: Column, key: Column) -> Column:
+    """The text of the contract: where crc32 of the id ends in 0, the words from a on repeat the first p of them."""
+    words = F.filter(F.split(text, WORD_GAP), lambda w: w != "")
+    g = F.floor(F.crc32(key.cast("string").cast("binary")) / 10)
+
+    def repeated(ws: Column) -> Column:
+        n = F.size(ws)
+        a = F.pmod(g, n)
+        p = F.floor((n - a) / (3 + F.pmod(g, F.lit(8)))) + 1
+        at = lambda i: F.when(i < a, i).otherwise(a + F.pmod(i - a, p))
+        word = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(ws, at(i).cast("int")))
+        return F.when(n > 0, F.array_join(word, " ")).otherwise("")
+
+    # One element, so that the words are split once.
+    return F.when(F.crc32(key.cast("string").cast("binary")) % 10 == 0, F.transform(F.array(words), repeated)[0]).otherwise(text)
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document, and its words without their repeats."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", planted(F.col("text"), F.col("doc_id")).alias("text"))
+    found = repair.periodic_runs(docs)
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    lines = F.concat_ws("", F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
