@@ -1,8 +1,8 @@
 """Periodic runs of words by grammar compression.
 
-The word ids of a chunk of texts are compressed by Re-Pair, a round at a time: every pair of symbols
-that is the most frequent one in its neighbourhood becomes a nonterminal wherever it stands, until no
-pair repeats within the texts.  What is left of a text is joined by a balanced tree of rules that occur
+The word ids of a chunk of texts are compressed by Re-Pair, a round at a time: the pairs of symbols
+within a factor of two of the most frequent one become nonterminals, in order of their frequency, and
+pairs are counted anew, until none repeats within the texts.  What is left of a text is joined by a balanced tree of rules that occur
 once.  A run that lies in a text crosses the boundary of the two halves of exactly one lowest rule that
 contains it, so the runs across each rule's boundary are computed once, in the rule's first
 expansion, and moved to all positions that the rule derives.  Intervals of one period that lie in
@@ -22,7 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import prefix_hash, slices, span_hash, utf8, word_spans
+from .common import mix, prefix_hash, slices, span_hash, utf8, word_spans
 
 #: A run has at least so many words, and so many periods (four at least: see above).
 LEAST_WORDS, LEAST_PERIODS = 6, 4
@@ -98,27 +98,34 @@ def crossing(h: Hashes, start: np.ndarray, cut: np.ndarray, end: np.ndarray) ->
     return both[:, 0], both[:, 1], both[:, 2], both[:, 3]
 
 
-def _pairs(symbols: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the neighbouring pairs within a text, and how often each occurs; -1 across texts."""
+def _pairs(symbols: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of the neighbouring pairs within a text (-1 across texts), how often each occurs, and its name."""
     inside = text[1:] == text[:-1]
     code = np.full(len(symbols) - 1, -1, np.int64)
     code[inside], names = pd.factorize((symbols[:-1][inside] << 32) | symbols[1:][inside])
-    return code, np.bincount(code[inside], minlength=len(names))
-
-
-def _chosen(code: np.ndarray, often: np.ndarray) -> np.ndarray:
-    """Places whose pair repeats and is not outdone by a neighbouring pair; none overlap."""
-    # More frequent first, then the earlier seen one.
-    rank = np.where(code >= 0, often[code] * (len(often) + 1) + (len(often) - code), 0)
-    rank[(code < 0) | (often[code] < 2)] = 0
-    wide = np.concatenate([[0], rank, [0]])
-    best = (rank > 0) & (rank >= wide[:-2]) & (rank >= wide[2:])
-    # Equal neighbours (aaa) overlap: every second one of such a stretch, from its left.
-    first = best & ~(np.concatenate([[False], best[:-1]]) & (rank == wide[:-2]))
-    run = np.cumsum(first)
-    place = np.flatnonzero(best)
-    start = np.flatnonzero(first)
-    return place[(place - start[run[place] - 1]) % 2 == 0]
+    return code, np.bincount(code[inside], minlength=len(names)), names
+
+
+def _chosen(code: np.ndarray, often: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Places to replace, none overlapping: pairs at least half as frequent as the most frequent one, in
+    order of frequency, each wherever no pair before it has taken a symbol."""
+    frequent = np.flatnonzero(often >= max(2, int(often.max()) // 2))
+    # Equally frequent pairs in an order of no pattern, or a copied passage would be taken pair by pair.
+    place = np.zeros(len(often) + 1, np.int64)  # the last stands for the code -1
+    place[frequent[np.lexsort((mix(names[frequent].astype(np.uint64)), often[frequent]))]] = np.arange(1, len(frequent) + 1)
+    rank = np.zeros(len(code) + 2, np.int64)
+    rank[1:-1] = place[code]
+    live, taken = np.flatnonzero(rank), []
+    while len(live):
+        best = live[(rank[live] >= rank[live - 1]) & (rank[live] >= rank[live + 1])]
+        # Equal neighbours (aaa) overlap: every second one of such a stretch, from its left.
+        nth = np.arange(len(best))
+        head = np.concatenate([[True], best[1:] != best[:-1] + 1])
+        best = best[(nth - nth[head][np.cumsum(head) - 1]) % 2 == 0]
+        taken.append(best)
+        rank[best] = rank[best - 1] = rank[best + 1] = 0
+        live = live[rank[live] > 0]
+    return np.sort(np.concatenate(taken)) - 1 if taken else np.zeros(0, np.int64)
 
 
 def _balanced(pos: np.ndarray, size: np.ndarray, text: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -143,8 +150,8 @@ def rules(ids: np.ndarray, text: np.ndarray) -> Iterator[tuple[np.ndarray, np.nd
     pos, size, text = np.arange(len(ids)), np.ones(len(ids), np.int64), text.copy()
     names = int(symbols.max()) + 1 if len(symbols) else 0
     while len(symbols) > 1:
-        code, often = _pairs(symbols, text)
-        at = _chosen(code, often) if len(often) else np.zeros(0, np.int64)
+        code, often, pairs = _pairs(symbols, text)
+        at = _chosen(code, often, pairs) if len(often) else np.zeros(0, np.int64)
         if not len(at):
             break
         rule, _ = pd.factorize(code[at])
