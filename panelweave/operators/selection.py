@@ -147,6 +147,83 @@ def select_names(
     return best.join(sizes, GROUP).where(F.col("pick") <= target).drop("_elig", "_qual")
 
 
+def buffered_candidates(scored: DataFrame, start: DataFrame | None, enter_pct: float, exit_pct: float, min_names: int, max_names: int) -> DataFrame:
+    """The eligible rows that a rank buffer can pick at all, with ``alpha_share`` and the date's number ``_k``.
+
+    A newcomer can only be one of the first ``max_names`` over the entry floor, a backfill one of the
+    first ``min_names + max_names`` of all; such a row is an entry.  Anything else is picked as an
+    incumbent over the exit floor only, so its name must have stood over that floor on every date since
+    an entry of its own.  The window runs over a name's own dates, never over a date's names.
+    """
+    from ..functions.ranks import percentile_rank
+
+    dates = scored.select(*GROUP).distinct().withColumn("_k", F.row_number().over(Window.partitionBy("region").orderBy("as_of")))
+    shares = percentile_rank(scored.where(~F.col("data_insufficient")), GROUP, ["alpha"], "_share", digits=None)
+    order = [F.col("above_ma200").desc(), F.col("alpha").desc(), F.col("entity")]
+    over = lambda pct: F.col("alpha_share") >= 100.0 - pct
+    entries = top_k(shares, GROUP, order, min_names + max_names, "_at").unionByName(top_k(shares.where(over(enter_pct)), GROUP, order, max_names, "_at"))
+    entries = entries.select(*GROUP, "entity").distinct().withColumn("_entry", F.lit(True))
+    rows = shares.join(entries, [*GROUP, "entity"], "left").where(F.col("_entry") | over(exit_pct)).join(dates, GROUP)
+    entry = F.coalesce("_entry", F.lit(False))
+    if start is not None:
+        held = start.select("region", "entity").distinct().withColumn("_held", F.col("region").isNotNull())
+        rows = rows.join(held, ["region", "entity"], "left")
+        entry = entry | ((F.col("_k") == 1) & F.coalesce("_held", F.lit(False)))
+    name = Window.partitionBy("region", "entity").orderBy("_k")
+    gap = F.when(F.col("_k") - F.lag("_k").over(name) == 1, 0).otherwise(1)
+    rows = rows.withColumn("_entry", entry).withColumn("_stretch", F.sum(gap).over(name))
+    since = Window.partitionBy("region", "entity", "_stretch").orderBy("_k")
+    return rows.withColumn("_live", F.max("_entry").over(since)).where("_live").drop("_entry", "_stretch", "_live", "_held")
+
+
+def select_over_time(
+    scored: DataFrame, start: DataFrame | None = None, enter_pct: float = 12, exit_pct: float = 28,
+    min_names: int = 8, max_names: int = 12,
+) -> DataFrame:
+    """Rank-buffer selection per region, date after date: the picks of a region's date are the
+    incumbents of its next one.
+
+    The rules are those of ``select_names``.  ``start`` (region, entity) holds before the first date.
+    A date without an eligible name picks none and leaves no incumbents.  The fold runs along a region's
+    dates with its holdings (``max_names`` at most) as state, over the rows of ``buffered_candidates``.
+    """
+    rows = buffered_candidates(scored, start, enter_pct, exit_pct, min_names, max_names)
+    by_order = F.struct(
+        (-F.coalesce(F.col("above_ma200").cast("int"), F.lit(-1))).alias("below"), (-F.col("alpha")).alias("lower"), "entity", F.col("alpha_share").alias("share"))
+    days = rows.groupBy(*GROUP).agg(F.sort_array(F.collect_list(by_order)).alias("names"))  # candidates of a date
+    days = scored.select(*GROUP).distinct().join(days, GROUP, "left")
+    names_type = days.schema["names"].dataType.simpleString()
+    history = days.groupBy("region").agg(F.sort_array(F.collect_list(F.struct("as_of", F.coalesce("names", F.array().cast(names_type)).alias("names")))).alias("days"))
+    first = F.array().cast("array<string>")
+    if start is not None:
+        held = start.where(F.col("region").isNotNull()).groupBy("region").agg(F.collect_set("entity").alias("_start"))  # one sleeve
+        history = history.join(held, "region", "left")
+        first = F.coalesce("_start", first)
+
+    let = lambda value, body: F.transform(F.array(value), body)[0]
+
+    def pick(held, day):
+        floor = lambda x: F.when(F.array_contains(held, x["entity"]), 100.0 - exit_pct).otherwise(100.0 - enter_pct)
+        told = F.transform(day["names"], lambda x: F.struct(
+            x["entity"].alias("entity"), x["share"].alias("share"), (x["share"] >= floor(x)).alias("qualified"), F.array_contains(held, x["entity"]).alias("incumbent")))
+
+        def cut(all_):
+            good, rest = F.filter(all_, lambda x: x["qualified"]), F.filter(all_, lambda x: ~x["qualified"])
+            n = F.least(F.lit(max_names), F.greatest(F.size(good), F.least(F.lit(min_names), F.size(all_))))
+            return F.slice(F.concat(good, rest), F.lit(1), n)
+
+        return let(told, cut)
+
+    picked = "array<struct<entity:string,share:double,qualified:boolean,incumbent:boolean>>"
+    state = F.struct(first.alias("held"), F.array().cast(f"array<struct<as_of:date,picks:{picked}>>").alias("out"))
+    step = lambda s, day: let(pick(s["held"], day), lambda p: F.struct(
+        F.transform(p, lambda x: x["entity"]).alias("held"), F.concat(s["out"], F.array(F.struct(day["as_of"].alias("as_of"), p.alias("picks")))).alias("out")))
+    out = history.select("region", F.explode(F.aggregate("days", state, step)["out"]).alias("day"))
+    out = out.select("region", "day.as_of", F.posexplode("day.picks").alias("_pos", "x"))
+    chosen = out.select(*GROUP, "x.entity", F.col("x.share").alias("alpha_share"), "x.qualified", "x.incumbent", (F.col("_pos") + 1).alias("pick"))
+    return scored.join(chosen, [*GROUP, "entity"])
+
+
 # ------------------------------------------------------------ set operations
 def ordered_union(*frames: DataFrame, key: list[str] = ["entity"]) -> DataFrame:
     """Distinct union in which an earlier frame's row wins."""

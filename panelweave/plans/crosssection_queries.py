@@ -292,21 +292,28 @@ def _(spark, sf):
 
 
 # ------------------------------------------------------- rank-buffer selection
-# Prior holdings of a date: the names with the best six-month momentum so far.
+# A region's incumbents are the picks of its previous date: a fold over the numbered dates, which the
+# SQL twin runs over all eligible names, without the library's choice of candidates.
 PICKS = f"""{SC}, el AS (SELECT *, {pct_sql('alpha')} AS share FROM scored WHERE NOT data_insufficient),
-inc AS (SELECT *, CAST(replace(entity, 'Brand#', '') AS INTEGER) % 3 = 0 AS incumbent FROM el),
-ql AS (SELECT *, share >= CASE WHEN incumbent THEN 72 ELSE 88 END AS qualified FROM inc),
-qn AS (SELECT *, count(*) FILTER (qualified) OVER (PARTITION BY as_of, region) AS n_q, count(*) OVER (PARTITION BY as_of, region) AS n_e,
-  row_number() OVER (PARTITION BY as_of, region ORDER BY qualified DESC, above_ma200 DESC, alpha DESC, entity) AS pick FROM ql),
-picks AS (SELECT * FROM qn WHERE pick <= least(12, greatest(n_q, least(8, n_e))))"""
+days AS (SELECT as_of, region, row_number() OVER (PARTITION BY region ORDER BY as_of) AS k FROM (SELECT DISTINCT as_of, region FROM scored)),
+lists AS (SELECT d.as_of, d.region, d.k, coalesce(l.names, []) AS names FROM days d LEFT JOIN (
+  SELECT as_of, region, list(struct_pack(entity := entity, share := share) ORDER BY above_ma200 DESC, alpha DESC, entity) AS names FROM el GROUP BY 1, 2) l USING (as_of, region)),
+walk AS (SELECT DISTINCT region, CAST(0 AS BIGINT) AS k, CAST(NULL AS DATE) AS as_of, CAST([] AS VARCHAR[]) AS prior, CAST([] AS VARCHAR[]) AS held FROM days
+  UNION ALL
+  SELECT region, k, as_of, prior, list_transform((good || rest)[1:least(12, greatest(len(good), least(8, len(good) + len(rest))))], lambda x: x.entity) FROM (
+    SELECT l.region, l.k, l.as_of, w.held AS prior,
+      list_filter(l.names, lambda x: x.share >= CASE WHEN list_contains(w.held, x.entity) THEN 72 ELSE 88 END) AS good,
+      list_filter(l.names, lambda x: x.share < CASE WHEN list_contains(w.held, x.entity) THEN 72 ELSE 88 END) AS rest
+    FROM walk w JOIN lists l ON l.region = w.region AND l.k = w.k + 1)),
+picks AS (SELECT el.*, w.pick, list_contains(w.prior, entity) AS incumbent, share >= CASE WHEN list_contains(w.prior, entity) THEN 72 ELSE 88 END AS qualified
+  FROM (SELECT as_of, region, prior, unnest(held) AS entity, unnest(range(1, len(held) + 1)) AS pick FROM walk WHERE k > 0) w JOIN el USING (as_of, region, entity))"""
 
 
 def picks(spark, sf):
-    prior = v.bars(spark, sf).where(F.regexp_replace("entity", "Brand#", "").cast("int") % 3 == 0).select("region", "entity")
-    return sel.select_names(scored(spark, sf), prior)
+    return stage_table(spark, f"{sf}/picks", lambda: sel.select_over_time(scored(spark, sf)))
 
 
-@register("rank_buffer_selection", "K5", f"WITH {PICKS} --final SELECT * FROM picks", "as_of region entity qualified incumbent", "pick", "share")
+@register("rank_buffer_selection", "K5", f"WITH RECURSIVE {PICKS} --final SELECT * FROM picks", "as_of region entity qualified incumbent", "pick", "share")
 def _(spark, sf):
     return picks(spark, sf).withColumnRenamed("alpha_share", "share")
 
@@ -341,14 +348,14 @@ def equal_weight(p):
     return p.join(n, ["as_of", "region"]).withColumn("weight_pct", 100.0 / F.col("n"))
 
 
-@register("sector_exposure", "A23", f"WITH {EXPO} --final SELECT * FROM expo", "as_of region sector", "", "exposure_pct", 4)
+@register("sector_exposure", "A23", f"WITH RECURSIVE {EXPO} --final SELECT * FROM expo", "as_of region sector", "", "exposure_pct", 4)
 def _(spark, sf):
     return pf.sector_exposure(equal_weight(picks(spark, sf)))
 
 
 @register(
     "concentration_overlay", "X17",
-    f"""WITH {EXPO}, {OVER}, {STATE} --final SELECT p.as_of, p.region, p.entity,
+    f"""WITH RECURSIVE {EXPO}, {OVER}, {STATE} --final SELECT p.as_of, p.region, p.entity,
       CASE WHEN round(x.exposure_pct, 6) >= 33.4 AND s.entry_state = 'ACCUMULATE_GRADUALLY' THEN 'WATCH' ELSE s.entry_state END AS entry_state,
       s.reasons || CASE WHEN round(x.exposure_pct, 6) >= 33.4 AND s.entry_state = 'ACCUMULATE_GRADUALLY' THEN ',sector_concentration' ELSE '' END AS reasons
       FROM picks p JOIN st s USING (as_of, region, entity) JOIN expo x ON x.as_of = p.as_of AND x.region = p.region AND x.sector = p.sector""",

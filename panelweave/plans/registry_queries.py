@@ -267,7 +267,7 @@ def gated_picks(spark, sf):
 
 @register(
     "withheld_picks", "G2",
-    f"""WITH {PICKS}, {RUNS} --final SELECT p.as_of, p.region, p.entity, g.reasons <> '' AS blocked, CASE WHEN g.reasons = '' THEN p.pick END AS pick, p.alpha FROM picks p JOIN gated g ON g.as_of = p.as_of""",
+    f"""WITH RECURSIVE {PICKS}, {RUNS} --final SELECT p.as_of, p.region, p.entity, g.reasons <> '' AS blocked, CASE WHEN g.reasons = '' THEN p.pick END AS pick, p.alpha FROM picks p JOIN gated g ON g.as_of = p.as_of""",
     "as_of region entity blocked", "pick", "alpha",
 )
 def _(spark, sf):
@@ -345,7 +345,7 @@ def _(spark, sf):
 
 @register(
     "state_snapshot", "S10 G5",
-    f"""WITH {PICKS} --final SELECT region, 'live' AS data_mode, string_agg(entity, ',' ORDER BY pick) AS holdings, '1.0' AS schema_version FROM picks WHERE as_of = (SELECT max(as_of) FROM picks) GROUP BY region""",
+    f"""WITH RECURSIVE {PICKS} --final SELECT region, 'live' AS data_mode, string_agg(entity, ',' ORDER BY pick) AS holdings, '1.0' AS schema_version FROM picks WHERE as_of = (SELECT max(as_of) FROM picks) GROUP BY region""",
     "region data_mode holdings schema_version",
 )
 def _(spark, sf):
