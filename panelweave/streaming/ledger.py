@@ -1,93 +1,25 @@
-"""Streaming ledger append and outcome maturity.
-
-Both keep no unbounded state: what has been written is the state, and an
-anti-join against it makes a replayed batch or a restart write nothing twice.
-"""
+"""Streaming ledger append, exactly once per micro-batch."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ..operators.ledger import HORIZONS, outcomes
-from ..sources.bars import BAR_SCHEMA
 from ..sources.ledger_store import LEDGER_SCHEMA, append_ledger
 
-OUTCOME_SCHEMA = T.StructType(
-    [T.StructField(c, T.StringType()) for c in ("id", "entity", "region", "model_version", "view")]
-    + [T.StructField("date", T.DateType()), T.StructField("horizon", T.IntegerType())]
-    + [T.StructField(c, T.DoubleType()) for c in ("alpha", "fwd", "excess", "mfe", "mae")]
-)
-
-
-def start_ledger_append(signals: DataFrame, path: str, checkpoint: str, schema: T.StructType = LEDGER_SCHEMA):
-    """Append each new signal id once; the first record of an id is immutable."""
-
-    def write(batch: DataFrame, _epoch: int) -> None:
-        append_ledger(batch, path, schema)
-
-    return (
-        signals.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
-
-
-def _stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    from pyspark.sql.utils import AnalysisException
-
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], schema)
 
+def start_ledger_append(signals: DataFrame, path: str, checkpoint: str, schema: T.StructType = LEDGER_SCHEMA, query: str = "ledger"):
+    """Append each new signal id once; the first record of an id is immutable.
 
-def mature(signals: DataFrame, bars: DataFrame, done: DataFrame, benchmarks: DataFrame, horizons=HORIZONS) -> DataFrame:
-    """Outcomes that have matured and are not stored yet.
-
-    Signals whose horizons are all stored leave the job before any join with
-    the bars, and only their entities' bars are read.
+    A batch is one commit under (``query`` and the checkpoint's own id, epoch): a replayed epoch finds its
+    commit and writes nothing, and a lost checkpoint replays under new names, where the ids decide.
     """
-    finished = done.groupBy("id").agg(F.countDistinct("horizon").alias("_n")).where(F.col("_n") >= len(horizons)).select("id")
-    pending = signals.join(finished, "id", "left_anti")
-    needed = bars.join(pending.select("entity").distinct(), "entity", "left_semi")
-    new = outcomes(pending, needed, benchmarks, horizons)
-    return new.join(done.select("id", "horizon"), ["id", "horizon"], "left_anti")
-
+    run = f"{query}:{checkpoint.rstrip('/').rsplit('/', 1)[-1]}"
 
-def start_maturity(bar_stream: DataFrame, signals: DataFrame, benchmarks: DataFrame, bar_path: str, outcome_path: str, checkpoint: str, horizons=HORIZONS, lookback: int = 12):
-    """Store arriving bars and emit an outcome when its horizon's last bar is in.
-
-    Bars are stored by month.  A batch is compared with the stored bars of its own months, and only
-    signals on its entities are evaluated, over bars from ``lookback`` months before the oldest of
-    them on: a signal's reference bar may be that old.
-    """
-    spark = bar_stream.sparkSession
-    names = [f.name for f in OUTCOME_SCHEMA.fields]
-    stored = T.StructType([*BAR_SCHEMA.fields, T.StructField("month", T.DateType())])
-    month = F.trunc("ts", "month").alias("month")
-
-    def step(batch: DataFrame, _epoch: int) -> None:
-        columns = [f.name for f in BAR_SCHEMA.fields]
-        # Of several bars for a day the first in order of all values counts.
-        latest = F.row_number().over(Window.partitionBy("entity", "ts").orderBy(*columns))
-        rows = batch.select(*columns, month).withColumn("_rn", latest).where("_rn = 1").drop("_rn")
-        first, last = rows.agg(F.min("month"), F.max("month")).first()
-        if first is not None:
-            known = _stored(spark, bar_path, stored).where(F.col("month").between(F.lit(first), F.lit(last))).select("entity", "ts")
-            rows.join(known, ["entity", "ts"], "left_anti").write.mode("append").partitionBy("month").parquet(bar_path)
-        mine = signals.join(batch.select("entity").distinct(), "entity", "left_semi")
-        oldest = mine.agg(F.add_months(F.trunc(F.min("date"), "month"), -lookback)).first()[0]
-        if oldest is None:
-            return
-        bars = _stored(spark, bar_path, stored).where(F.col("month") >= F.lit(oldest)).drop("month")
-        out = mature(mine, bars, _stored(spark, outcome_path, OUTCOME_SCHEMA), benchmarks, horizons)
-        typed = out.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in OUTCOME_SCHEMA.fields])
-        typed.select(*names).write.mode("append").parquet(outcome_path)
+    def write(batch: DataFrame, epoch: int) -> None:
+        append_ledger(batch, path, schema, query=run, epoch=epoch)
 
     return (
-        bar_stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+        signals.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )

@@ -206,22 +206,3 @@ def test_streamed_ledger_is_idempotent_across_restart_and_duplicates(spark, tmp_
     run("cp")
     run("cp2")  # a lost checkpoint replays everything and still writes nothing twice
     assert sorted((r.id, r.alpha) for r in store.read_ledger(spark, path).collect()) == [("a", 1.0), ("b", 1.0)]
-
-
-def test_streamed_maturity_equals_batch(spark, tmp_path):
-    b = bars(spark, {"A": walk(30)}).select("entity", "ts", "open", "high", "low", "close", "volume")
-    days = bdays(30)
-    bench = spark.createDataFrame([("B", d, 100.0 + i) for i, d in enumerate(days)], "benchmark string, ts date, bench double")
-    s = signals(spark, days[2])
-    src_dir = str(tmp_path / "in")
-    args = (s, bench, str(tmp_path / "bars"), str(tmp_path / "out"))
-    run = lambda cp: sl.start_maturity(spark.readStream.schema(src.BAR_SCHEMA).parquet(src_dir), *args, str(tmp_path / cp), (5, 21)).awaitTermination(90)
-    b.where(F.col("ts") <= F.lit(days[10])).write.mode("append").parquet(src_dir)
-    run("cp")
-    first = spark.read.parquet(str(tmp_path / "out")).collect()
-    assert [r.horizon for r in first] == [5]
-    b.where(F.col("ts") > F.lit(days[10])).write.mode("append").parquet(src_dir)
-    run("cp")
-    got = {(r.id, r.horizon, r.fwd, r.excess) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    want = {(r.id, r.horizon, r.fwd, r.excess) for r in lg.outcomes(s, b, bench, (5, 21)).collect()}
-    assert got == want and len(got) == 2
