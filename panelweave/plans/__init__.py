@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["feature_queries", "diagnosis_queries", "crosssection_queries", "macro_queries", "outcome_queries", "registry_queries", "model_queries"]
+_MODULES = ["feature_queries", "diagnosis_queries", "crosssection_queries", "macro_queries", "outcome_queries", "registry_queries", "model_queries", "stream_queries"]
 
 
 def load_catalog():

@@ -20,13 +20,19 @@ def span_step(micros: Column, first: int, last: int, steps: int) -> Column:
     return F.floor((micros - first) * steps / F.lit(last - first + 1)).cast("int")
 
 
-def replay(df: DataFrame, step: Column, steps: int, folder: str, files: int = 4) -> DataFrame:
+def replay(df: DataFrame, step: Column, steps: int, folder: str, files: int = 1) -> DataFrame:
     """A file stream of ``df``: the rows of step k are written after those of the steps before, ``files`` files
-    each, and every micro-batch takes so many."""
+    each, and every micro-batch takes so many.  A step that fills fewer files is an error: its batch would
+    run into the next one."""
     spark = df.sparkSession
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     rows = df.withColumn("_step", step)
     for k in range(steps):
         rows.where(F.col("_step") == k).drop("_step").repartition(files).write.mode("append").parquet(folder)
+        written = sum(s.getPath().getName().endswith(".parquet") for s in fs.listStatus(place))
+        if written != files * (k + 1):
+            raise ValueError(f"step {k} has rows for {written - files * k} of {files} files")
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
