@@ -8,68 +8,109 @@ What is left in a task's open bins goes into sequences whose lengths are powers
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8, word_spans
+from .common import prefix_hash, slices, span_hash, utf8, word_spans
 
 CAPACITY = 2048
 END = 1
-#: Distinct words whose ids a worker remembers before it starts afresh.
-CACHE_WORDS = 200_000
-#: Text bytes tokenised at a time: words are Python objects, an order larger than their bytes.
+#: Distinct words whose ids a worker remembers before it forgets those that one chunk alone has held.
+CACHE_WORDS = 400_000
+#: Text bytes tokenised at a time.
 TEXT_BYTES = 1 << 20
+#: Stands between words that are tokenised together.
+PARTING = "\U0010fffd\U0010fffc\U0010fffd"
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
 class WordIds:
-    """Token ids of whitespace-separated words, each distinct word tokenised once.
+    """Token ids of whitespace-separated words, each distinct word of a chunk looked up once.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are its words' ids.
+    The tokenizer drops white space and never joins across it, so a text's ids are its words' ids.  New
+    words are tokenised as one string, parted by a token added for this, which belongs to no text.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.clear()
+        # Spark's tasks are the threads; the tokenizer's own would only contend with them.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import AddedToken, Tokenizer
 
-    def clear(self) -> None:
+        self.path, self.tokenizer = path, Tokenizer.from_file(path)
+        self.tokenizer.add_special_tokens([AddedToken(PARTING, normalized=False, special=True)])
+        self.parting = self.tokenizer.token_to_id(PARTING)
         self.place: dict[bytes, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.first = np.zeros(1 << 16, np.int64)  # of a word's ids in flat; the next entry ends them
+        self.again = np.zeros(0, bool)  # words that a later chunk has asked for
+
+    def _trim(self) -> None:
+        """Keep the words that more than one chunk has held."""
+        keep = np.flatnonzero(self.again[: len(self.place)])
+        words = list(self.place)
+        size = self.first[keep + 1] - self.first[keep]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        flat = self.flat[np.arange(total) + np.repeat(self.first[keep] - (ends - size), size)]
+        self.place = {words[k]: n for n, k in enumerate(keep.tolist())}
+        self.flat[:total] = flat
+        self.first[1 : len(keep) + 1] = ends
+        self.again[:] = False
 
     def _learn(self, words: list[bytes]) -> None:
-        found = [x.ids for x in self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)]
+        ids = np.array(self.tokenizer.encode_batch_fast([PARTING.join(w.decode() for w in words)], add_special_tokens=False)[0].ids, np.uint32)
+        parting = np.append(np.flatnonzero(ids == self.parting), len(ids))
+        if len(parting) != len(words):  # a word holds the parting token itself
+            each = [np.array(self._plain(w), np.uint32) for w in words]
+            ids, ends = np.concatenate(each), np.cumsum([len(x) for x in each])
+        else:
+            ids, ends = ids[ids != self.parting], parting - np.arange(len(words))
         n = len(self.place)
         for i, w in enumerate(words):
             self.place[w] = n + i
-        ends = self.first[n] + np.cumsum([len(x) for x in found])
         while len(self.first) <= n + len(words):
             self.first = np.append(self.first, np.zeros_like(self.first))
-        while len(self.flat) < ends[-1]:
+        base = int(self.first[n])
+        while len(self.flat) < base + len(ids):
             self.flat = np.append(self.flat, np.zeros_like(self.flat))
-        self.flat[self.first[n] : ends[-1]] = [i for x in found for i in x]
-        self.first[n + 1 : n + 1 + len(words)] = ends
+        self.flat[base : base + len(ids)] = ids
+        self.first[n + 1 : n + 1 + len(words)] = base + ends
+
+    def _plain(self, word: bytes) -> list[int]:
+        """Ids of a word by a tokenizer without the parting token."""
+        from tokenizers import Tokenizer
+
+        if not hasattr(self, "untouched"):
+            self.untouched = Tokenizer.from_file(self.path)
+        return self.untouched.encode(word.decode(), add_special_tokens=False).ids
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each text's with the end id after them, and where each text starts (n + 1)."""
         starts, ends, first = word_spans(data, offsets)
+        code, distinct = pd.factorize(span_hash(prefix_hash(data), starts, ends)) if len(starts) else (np.zeros(0, np.int64), [])
+        one = np.zeros(len(distinct), np.int64)
+        one[code[::-1]] = np.arange(len(code))[::-1]  # the first place of each word
         raw = data.tobytes()
-        words = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+        words = [raw[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist())]
         if len(self.place) > CACHE_WORDS:
-            self.clear()
-        new = list(set(words).difference(self.place))
+            self._trim()
+        place, known = self.place, len(self.place)
+        new = [w for w in words if w not in place]
         if new:
             self._learn(new)
-        place = self.place
+        if len(self.again) < len(self.first):
+            self.again = np.append(self.again, np.zeros(len(self.first) - len(self.again), bool))
         at = np.fromiter((place[w] for w in words), np.int64, len(words))
+        self.again[at[at < known]] = True
+        at = at[code]
         sizes = self.first[at + 1] - self.first[at]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0

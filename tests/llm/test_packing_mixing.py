@@ -98,3 +98,22 @@ def test_mixing_edges(make, edge):
     assert [c for c in out.columns if c not in ("epoch", "n_tokens")] == [c for c in docs.columns if c != "epoch"] and out.count() > 0
     assert mixing.mix_sources(docs.limit(0)).count() == 0
     assert mixing.mix_sources(make([(1, None), (2, "")])).count() == 0
+
+
+def test_words_are_forgotten_and_learned_again(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from panelweave.llm.common import utf8
+
+    monkeypatch.setattr(packing, "CACHE_WORDS", 300)
+    path = tokenizer_path()
+    table, tok = packing.WordIds(path), Tokenizer.from_file(path)
+    common = [f"common{i}" for i in range(50)]
+    for k in range(12):
+        texts = [" ".join([*common, *(f"rare{k}x{i}" for i in range(90)), packing.PARTING if k == 5 else "", "é, ß! 42%"]), None, "", f"a{packing.PARTING}b" if k == 7 else "x"]
+        ids, bounds = table.ids(*utf8(pa.array(texts)))
+        for t, lo, hi in zip(texts, bounds[:-1], bounds[1:]):
+            assert ids[lo:hi].tolist() == [*tok.encode(t or "", add_special_tokens=False).ids, packing.END]
+        assert len(table.place) <= 300 + 100
+    assert all(w.encode() in table.place for w in common)
