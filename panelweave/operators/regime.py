@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..functions.asof import asof_merge
 from ..functions.dates import bday_add
 from ..functions.stats import change, dead_band_sign, ratio
 
@@ -62,18 +63,11 @@ def registry(spark: SparkSession, rows=REGISTRY) -> DataFrame:
 def asof_visible(observed: DataFrame, asofs: DataFrame, visible_from: Column, keys=("indicator",), order="obs_date") -> DataFrame:
     """For each as-of date the newest row already visible, per key.
 
-    A row is the visible one from its own release until the next one's.  That
-    span is laid out in days and matched by equality, so no range join arises;
-    rows stay bounded by keys x calendar days.
+    Every key asks once per as-of date, which are the rows of the result; nothing is laid out by day.
     """
-    w = Window.partitionBy(*keys).orderBy(order)
-    until = F.date_sub(F.lead("_from").over(w), 1)
-    last = asofs.select(F.max("as_of")).scalar()
-    spans = observed.withColumn("_from", visible_from).withColumn("_until", F.coalesce(until, last))
-    days = spans.where(F.col("_from") <= F.col("_until")).withColumn(
-        "as_of", F.explode(F.sequence("_from", "_until", F.expr("interval 1 day")))
-    )
-    return days.drop("_from", "_until").join(asofs.select("as_of").distinct(), "as_of")
+    dates = asofs.agg(F.sort_array(F.collect_set("as_of"))).scalar()  # calendar-sized
+    asks = observed.select(*keys).distinct().withColumn("as_of", F.explode(dates))
+    return asof_merge(asks, observed, list(keys), "as_of", visible_from, order)
 
 
 def asof_release(macro: DataFrame, indicators: DataFrame, asofs: DataFrame) -> DataFrame:

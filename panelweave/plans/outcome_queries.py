@@ -406,15 +406,15 @@ def _(spark, sf):
     "validation_status", "A28",
     f"""{RO}, {IC}, d AS (SELECT min(date) AS a, max(date) AS z, count(*) FILTER (horizon = 126) AS m FROM outc),
     s AS (SELECT (SELECT count(*) FROM generate_series(a, z, INTERVAL 1 DAY) t(x) WHERE isodow(x) < 6) AS paper_days, m AS matured_signals, (SELECT count(*) FROM ic WHERE horizon = 63) AS cross_sections FROM d)
-    , e AS (SELECT count(DISTINCT date) AS eligible_dates, avg(excess) - 0.001 AS excess_after_cost FROM smp WHERE horizon = 63),
+    , e AS (SELECT count(DISTINCT date) AS eligible_dates, round_even(avg(excess) - 0.001, 4) AS excess_after_cost FROM smp WHERE horizon = 63),
     bk AS (SELECT date, avg(fwd) AS r FROM smp WHERE view = 'POSITIVE' AND horizon = 63 GROUP BY 1),
     eq AS (SELECT *, exp(sum(ln(1 + r)) OVER (ORDER BY date)) AS e, row_number() OVER (ORDER BY r) AS worst, count(*) OVER () AS n FROM bk),
-    rb AS (SELECT min(dd) AS mdd, avg(r) FILTER (worst <= greatest(1, ceil(n * 0.05))) AS cvar95 FROM (SELECT *, e / max(e) OVER (ORDER BY date) - 1 AS dd FROM eq)),
+    rb AS (SELECT round_even(min(dd), 4) AS mdd, round_even(avg(r) FILTER (worst <= greatest(1, ceil(n * 0.05))), 4) AS cvar95 FROM (SELECT *, e / max(e) OVER (ORDER BY date) - 1 AS dd FROM eq)),
     ri AS (SELECT coalesce(string_agg(region || '=' || CAST(round_even(m * 1000, 0) AS BIGINT) || '/' || k, ',' ORDER BY region), '') AS region_ic FROM (SELECT region, round_even(avg(ic), 3) AS m, count(*) AS k FROM ic WHERE horizon = 63 GROUP BY 1))
     --final SELECT *, paper_days >= 126 AND matured_signals > 0 AND cross_sections > 0 AS live_validation_eligible, false AS live_validated,
       CASE WHEN paper_days >= 126 AND matured_signals > 0 AND cross_sections > 0 THEN 'manual_review_required; auto-promotion_disabled' ELSE
       concat_ws(',', CASE WHEN paper_days < 126 THEN 'paper_history_below_126_business_days' END, CASE WHEN matured_signals = 0 THEN 'no_126d_matured_signals' END) END AS reasons FROM s, e, rb, ri""",
-    "region_ic live_validation_eligible live_validated reasons", "paper_days matured_signals cross_sections eligible_dates", "excess_after_cost mdd:3 cvar95:3", 4,
+    "region_ic live_validation_eligible live_validated reasons", "paper_days matured_signals cross_sections eligible_dates", "excess_after_cost mdd cvar95", 4,
 )
 def _(spark, sf):
     one = lambda r: F.concat(r["region"], F.lit("="), F.bround(r["mean_ic"] * 1000, 0).cast("long").cast("string"), F.lit("/"), r["n_dates"].cast("string"))
