@@ -97,9 +97,9 @@ def _distinct(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def sketches(docs: DataFrame, route: int, width: int, words: int) -> DataFrame:
-    """(doc_id, text_hash, route, f0, f1, ..., same) of docs (doc_id, text_hash, text): a routing
+    """(doc_id, text_hash, route, f0, f1, ..., same, size) of docs (doc_id, text_hash, text): a routing
     fingerprint over ``route``-word shingles, ``words`` fingerprints of 64 bits over the distinct
-    ``width``-word shingles, their hashes remixed from one XXH64, and a hash of the set of these."""
+    ``width``-word shingles, their hashes remixed from one XXH64, a hash of the set of these, and their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", TEXT_BYTES):
@@ -107,10 +107,10 @@ def sketches(docs: DataFrame, route: int, width: int, words: int) -> DataFrame:
             hashes, bounds = _distinct(*_shingle_hashes(part.column("text"), width))
             cols = [majority(mix(hashes ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF)), bounds) for k in range(words)]
             total = np.append(np.uint64(0), np.cumsum(mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64))
-            cols = [routes, *cols, total[bounds[1:]] - total[bounds[:-1]]]
+            cols = [routes, *cols, total[bounds[1:]] - total[bounds[:-1]], np.diff(bounds)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), *(pa.array(x.view(np.int64)) for x in cols)], names=names)
 
-    names = ["doc_id", "text_hash", "route", *(f"f{k}" for k in range(words)), "same"]
+    names = ["doc_id", "text_hash", "route", *(f"f{k}" for k in range(words)), "same", "size"]
     return docs.select("doc_id", "text_hash", "text").mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
@@ -340,11 +340,10 @@ RADIUS = 58
 #: Keys sample this many bits of a 2-word fingerprint, in which near copies differ in 4 to 11 of 64.
 ROUTE = 2
 TABLES, KEY_BITS = 48, 14
-#: Partners that a member of a bucket proposes at first, and the factor from round to round.
-PROPOSE, GROWTH = 2, 4
-#: Blocks compared in the first step over some buckets and at most; members found full leave the later ones.
-FIRST_PAIRS, MOST_PAIRS = 1 << 12, 1 << 15
-NONE_LEFT = (1 << 63) - 1
+#: Members and bytes of shingle hashes of a block; two blocks are compared in one task.
+BLOCK_MEMBERS, BLOCK_BYTES = 512, 4 << 20
+#: Shingles counted in one product of zeros and ones.
+COLUMNS = 4096
 
 
 def _samples(seed: int, tables: int, bits: int) -> list[int]:
@@ -352,74 +351,19 @@ def _samples(seed: int, tables: int, bits: int) -> list[int]:
     return [sum(1 << int(b) for b in rng.choice(64, bits, replace=False)) for _ in range(tables)]
 
 
-def bucket_pairs(size: np.ndarray, words: list[np.ndarray], radius: int, order: np.ndarray, label: np.ndarray, cursor: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (earlier, later) within the radius and of different labels, over buckets laid end to end
-    and sorted by ``order``: each member's first ``most`` partners whose order is past its cursor.
-    With the new cursors, NONE_LEFT where no partner is left."""
-    n = int(size.sum())
-    at = np.arange(n) - np.repeat(np.cumsum(size) - size, size)
-    blocks = -(-size // 64)
-    of = np.repeat(np.cumsum(blocks) - blocks, size) + at // 64
-    lane = (at % 64).astype(np.uint64)
-    heads = np.flatnonzero(at % 64 == 0)
-    planes = np.stack([np.bitwise_or.reduceat((w >> np.uint64(p) & ONE) << lane, heads) for w in words for p in range(64)])
-    valid = np.bitwise_or.reduceat(ONE << lane, heads)
-    low, high = np.minimum.reduceat(label, heads), np.maximum.reduceat(label, heads)
-    ahead = np.repeat(blocks, size) - at // 64
-    turn = np.argsort(at, kind="stable")
-    done = np.append(0, np.cumsum(ahead[turn]))
-    count, last, found = np.zeros(n, np.int64), cursor.copy(), []
-    lo, step = 0, FIRST_PAIRS
-    while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(done, done[lo] + step, "right")) - 1)
-        mine = turn[lo:hi]
-        query = np.repeat(mine, ahead[mine])
-        block = of[query] + np.arange(len(query)) - np.repeat(np.cumsum(ahead[mine]) - ahead[mine], ahead[mine])
-        wanting = np.minimum.reduceat(count, heads) <= most
-        open_ = wanting[block] & ((low[block] != label[query]) | (high[block] != label[query]))
-        query, block, near = _near(planes, valid, words, query[open_], block[open_], radius)
-        rows, lanes = np.nonzero(np.unpackbits(near.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
-        a, b = query[rows], heads[block[rows]] + lanes
-        keep = (a < b) & (label[a] != label[b]) & (order[a] > cursor[b]) & (count[b] <= most)
-        a, b = a[keep], b[keep]
-        if len(a):
-            by = np.lexsort((a, b))
-            a, b = a[by], b[by]
-            head = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
-            many = np.diff(np.append(head, len(b)))
-            take = np.arange(len(b)) - np.repeat(head, many) + count[b] < most
-            found.append((a[take], b[take]))
-            np.maximum.at(last, b[take], order[a[take]])
-            count[b[head]] += many
-        lo, step = hi, min(2 * step, MOST_PAIRS)
-    left, right = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-    return left, right, np.where(count > most, last, NONE_LEFT)
-
-
-def _proposals(words: int, radius: int, most: int):
-    """Rows sorted by key and order to pairs (open 0), and the rows of buckets with partners left (open 1)."""
-    names = ["key", "ord", "node", "label", "cursor", *(f"f{k}" for k in range(words))]
-    fields = [*names, "other", "open"]
+def _spanning(words: int, radius: int):
+    """Rows sorted by key to spanning links (a, b) of each bucket: at most one a member."""
+    names = ["key", "node", *(f"f{k}" for k in range(words))]
 
-    def batch(columns: dict, n: int) -> pa.RecordBatch:
-        zero = np.zeros(n, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(columns.get(c, zero)) for c in fields], names=fields)
-
-    def solved(parts: list[dict]) -> Iterator[pa.RecordBatch]:
+    def solved(parts: list[dict]) -> pa.RecordBatch:
         rows = {c: np.concatenate([x[c] for x in parts]) for c in names}
         head = np.flatnonzero(np.append(True, rows["key"][1:] != rows["key"][:-1]))
         size = np.diff(np.append(head, len(rows["key"])))
         fit = np.repeat(size > 1, size)
-        size = size[size > 1]
-        if not len(size):
-            return
-        rows = {c: x[fit] for c, x in rows.items()}
-        a, b, cursor = bucket_pairs(size, [rows[f"f{k}"].view(np.uint64) for k in range(words)], radius, rows["ord"], rows["label"], rows["cursor"], most)
-        yield batch({"node": rows["node"][b], "other": rows["node"][a]}, len(a))
-        more = np.repeat(np.logical_or.reduceat(cursor != NONE_LEFT, np.cumsum(size) - size), size)
-        if more.any():
-            n = int(more.sum())
-            yield batch({c: x[more] for c, x in (rows | {"cursor": cursor}).items()} | {"open": np.ones(n, np.int64)}, n)
+        node = rows["node"][fit]
+        label = np.arange(0) if not len(node) else bucket_links(size[size > 1], [rows[f"f{k}"][fit].view(np.uint64) for k in range(words)], radius)
+        linked = np.flatnonzero(label != np.arange(len(label)))
+        return pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[label[linked]])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[dict] = []  # rows of the last key
@@ -429,13 +373,13 @@ def _proposals(words: int, radius: int, most: int):
                 continue
             cut = int(np.searchsorted(rows["key"], rows["key"][-1]))
             if cut or kept and kept[-1]["key"][-1] != rows["key"][0]:
-                yield from solved([*kept, {c: x[:cut] for c, x in rows.items()}])
+                yield solved([*kept, {c: x[:cut] for c, x in rows.items()}])
                 kept = []
             kept.append({c: x[cut:] for c, x in rows.items()})
         if kept:
-            yield from solved(kept)
+            yield solved(kept)
 
-    return run, ", ".join(f"{c} long" for c in fields)
+    return run, "a long, b long"
 
 
 def _shingle_sets(texts: DataFrame) -> DataFrame:
@@ -451,24 +395,41 @@ def _shingle_sets(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "node long, shingles binary")
 
 
-def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have a Jaccard similarity of ALIKE or more."""
+def shared_shingles(sets: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each two sets share."""
+    n = len(sets)
+    row = np.repeat(np.arange(n), [len(x) for x in sets])
+    _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    twice = often[column] > 1  # what one set alone holds is shared by none
+    row, column = row[twice], column[twice]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], np.cumsum(np.append(0, np.diff(column[order]) != 0))[: len(order)]
+    out = np.zeros((n, n), np.float32)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, (lo, lo + COLUMNS))
+        held = np.zeros((n, COLUMNS), np.float32)
+        held[row[a:b], column[a:b] - lo] = 1
+        out += held @ held.T
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            good = []
-            for x, y in zip(part.column("x"), part.column("y")):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                if min(len(x), len(y)) < ALIKE * max(len(x), len(y)) - 1e-9:
-                    good.append(False)
-                    continue
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both >= ALIKE * (len(x) + len(y) - both) - 1e-9)
-            yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+def _alike(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+    """A spanning forest (a, b) of the links of one or two blocks: sets whose Jaccard similarity is ALIKE or more."""
+    t = t.sort_by("node")
+    node = t.column("node").to_numpy()
+    sets = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("shingles")]
+    size = np.array([len(x) for x in sets])
+    both = shared_shingles(sets)
+    i, j = np.nonzero(np.triu(both >= ALIKE * (size[:, None] + size[None, :] - both) - 1e-6, 1))
+    root = np.arange(len(node))
+    while len(i):
+        x, y = root[i], root[j]
+        apart = x != y
+        i, j = i[apart], j[apart]
+        np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        root = _settle(root)
+    linked = np.flatnonzero(root != np.arange(len(root)))
+    return pa.table({"a": node[linked], "b": node[root[linked]]})
 
 
 def _near_rows(docs: DataFrame) -> DataFrame:
@@ -476,37 +437,34 @@ def _near_rows(docs: DataFrame) -> DataFrame:
     one id and hash hold one text.
 
     Candidates share sampled bits of a 2-word SimHash and differ in at most RADIUS of 256 bits of the
-    5-word SimHash; a link is a candidate whose shingle sets are alike to 0.8.  Equal sets are one node.
-    Each member of a bucket proposes its first partners; those that stay apart propose the next ones,
-    till every candidate is linked, by whatever way, or compared.
+    5-word SimHash.  Their components are loose groups: each is dealt out in blocks, every two blocks of it
+    meet in a task, and all pairs of these are decided by their shingle sets, alike to 0.8 or not.  No pair
+    leaves a task: buckets and blocks give spanning links.  Equal sets are one node.
     """
     bits = [f"f{k}" for k in range(SKETCH_WORDS)]
     node = F.xxhash64("same", "route", *bits).alias("node")
-    sketch = staged(sketches(docs, ROUTE, SHINGLE, SKETCH_WORDS).select("doc_id", "text_hash", node, "route", *bits), "sketches")
-    nodes = sketch.groupBy("node", "route", *bits).agg(F.min(F.struct("doc_id", "text_hash")).alias("best"))
-    nodes = staged(nodes.select("node", "route", *bits, "best.*"), "nodes")
+    sketch = staged(sketches(docs, ROUTE, SHINGLE, SKETCH_WORDS).select("doc_id", "text_hash", node, "route", *bits, "size"), "sketches")
+    nodes = sketch.groupBy("node", "route", *bits, "size").agg(F.min(F.struct("doc_id", "text_hash")).alias("best"))
+    nodes = staged(nodes.select("node", "route", *bits, "size", "best.*"), "nodes")
     signed = lambda m: m - (1 << 64) if m >> 63 else m
     masks = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(signed(m)).cast("long").alias("m")) for k, m in enumerate(_samples(7, TABLES, KEY_BITS))))
-    keyed = nodes.select("*", F.explode(masks).alias("t"))
-    key = F.xxhash64("t.k", F.col("route").bitwiseAND(F.col("t.m"))).alias("key")
-    rows = keyed.select(key, F.xxhash64("node").alias("ord"), "node", F.col("node").alias("label"), F.lit(-NONE_LEFT - 1).cast("long").alias("cursor"), *bits)
-    texts = docs.select("doc_id", "text_hash", "text")
-    found, most = [], PROPOSE
-    while True:
-        run, schema = _proposals(SKETCH_WORDS, RADIUS, most)
-        met = staged(rows.repartition(parts_for(rows), "key").sortWithinPartitions("key", "ord").mapInArrow(run, schema), "buckets")
-        pairs = staged(met.filter("open = 0").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct(), "candidates")
-        asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        asked = asked.join(nodes.select("node", "doc_id", "text_hash"), "node")
-        asked = texts.join(asked, ["doc_id", "text_hash"]).select("node", "text").dropDuplicates(["node"])
-        found.append(staged(_alike(pairs, staged(_shingle_sets(asked), "shingles")), "alike"))
-        roots = staged(components(reduce(DataFrame.union, found)), "roots")
-        rows = met.filter("open = 1").select(*rows.columns)
-        if rows.isEmpty():
-            break
-        label = F.coalesce("root", "node").alias("label")
-        rows = rows.drop("label").join(roots, "node", "left").select("key", "ord", "node", label, "cursor", *bits)
-        most *= GROWTH
+    keyed = nodes.select("node", "route", *bits, F.explode(masks).alias("t"))
+    rows = keyed.select(F.xxhash64("t.k", F.col("route").bitwiseAND(F.col("t.m"))).alias("key"), "node", *bits)
+    run, schema = _spanning(SKETCH_WORDS, RADIUS)
+    loose = components(rows.repartition(parts_for(rows), "key").sortWithinPartitions("key").mapInArrow(run, schema))
+
+    members = staged(nodes.join(loose, "node").select("node", "root", "size", "doc_id", "text_hash"), "members")
+    weight = F.greatest(F.sum("size") * 8 / BLOCK_BYTES, F.count(F.lit(1)) / BLOCK_MEMBERS)
+    groups = members.groupBy("root").agg(F.ceil(weight).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64(F.lit(5), "node"), F.col("blocks")).cast("int")
+    dealt = members.join(groups, "root").withColumn("own", own)
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = dealt.select("node", "root", "own", other.alias("other"))
+    tiles = dealt.select("node", F.struct("root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).alias("tile"))
+    texts = docs.select("doc_id", "text_hash", "text").join(members.select("node", "doc_id", "text_hash"), ["doc_id", "text_hash"])
+    sets = staged(_shingle_sets(texts.select("node", "text").dropDuplicates(["node"])), "shingles")
+    met = tiles.join(sets, "node").repartition(parts_for(rows), "tile").groupBy("tile").applyInArrow(_alike, "a long, b long")
+    roots = staged(components(met), "roots")
     return sketch.join(roots, "node", "left").select("doc_id", "text_hash", "node", F.coalesce("root", "node").alias("root"))
 
 

@@ -104,14 +104,18 @@ def test_a_bucket_of_one_route_is_compared_whole():
     fps = np.repeat(rng.integers(0, 1 << 63, (1, 4)), n, axis=0)
     for k in range(10):  # two copies differ in at most 20 bits
         fps[np.arange(n), rng.integers(0, 4, n)] ^= 1 << rng.integers(0, 63, n)
-    assert len(np.unique(fps, axis=0)) > simhash.BUCKET
-    rows = {"key": np.full(n, 5), "ord": np.arange(n), "node": np.arange(n), "label": np.arange(n), "cursor": np.full(n, -1), **{f"f{k}": fps[:, k] for k in range(4)}}
+    rows = {"key": np.append(np.full(n, 5), [6, 7, 7]), "node": np.arange(n + 3), **{f"f{k}": np.append(fps[:, k], fps[:3, k]) for k in range(4)}}
     table = pa.table({c: pa.array(x.astype(np.int64)) for c, x in rows.items()})
-    out = [r for b in simhash._proposals(4, 20, 1)[0](iter(table.to_batches(max_chunksize=700))) for r in b.to_pylist()]
-    assert {(r["node"], r["other"]) for r in out if not r["open"]} == {(i, 0) for i in range(1, n)}
-    assert sorted(r["node"] for r in out if r["open"]) == list(range(n))  # all go on, with their labels
-    joined = table.set_column(3, "label", pa.array(np.zeros(n, np.int64)))
-    assert not sum(b.num_rows for b in simhash._proposals(4, 20, 4)[0](iter(joined.to_batches())))
+    out = [(r["a"], r["b"]) for b in simhash._spanning(4, 20)[0](iter(table.to_batches(max_chunksize=700))) for r in b.to_pylist()]
+    assert sorted(out) == [(i, 0) for i in range(1, n)] + [(n + 2, n + 1)]
+
+
+def test_shared_shingles_are_counted_exactly(monkeypatch):
+    monkeypatch.setattr(simhash, "COLUMNS", 7)
+    rng = random.Random(3)
+    sets = [sorted(rng.sample(range(60), rng.randrange(40))) for _ in range(25)] + [[], [1 << 63]]
+    got = simhash.shared_shingles([np.array(x, np.uint64) for x in sets])
+    assert all(got[i, j] == len(set(a) & set(b)) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j)
 
 
 def test_components_of_chains_stars_and_self_links(spark):
@@ -166,7 +170,9 @@ def test_near_copies_are_held_to_the_similarity(make):
     assert sum(0.7 <= s < 0.8 for s in alike.values()) > 20 < sum(0.8 <= s < 0.9 for s in alike.values())
 
 
-def test_proposals_go_on_till_every_candidate_is_met(make):
+@pytest.mark.parametrize("block", [512, 7])
+def test_a_group_is_decided_whole_however_it_is_dealt_out(make, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK_MEMBERS", block)
     rng = random.Random(22)
     vocab = [f"u{i}" for i in range(3000)]
     base = [rng.choice(vocab) for _ in range(300)]
