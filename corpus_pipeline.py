@@ -12,6 +12,13 @@ from panelweave.llm.common import stage_folder
 from panelweave.llm.queries import tokenizer_path
 
 
+def _aside(docs: DataFrame, used: list[str]) -> tuple[DataFrame, list]:
+    """``docs`` with every column that a stage does not use under a name that no operator has, and the
+    columns that restore it: a document's own column keeps its values whatever it is called."""
+    own = {c: f"_own_{k}" for k, c in enumerate(docs.columns) if c not in used}
+    return docs.withColumnsRenamed(own), [F.col(own.get(c, c)).alias(c) for c in docs.columns]
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that policy v1 keeps."""
     return rules.keep(docs, "v1")
@@ -27,18 +34,20 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     A text that loses words is its other words joined by blanks; a document that loses all goes.
     """
-    cut = fmindex.dedup_words(docs)
+    plain, back = _aside(docs, ["doc_id", "text", "n_chars"])
+    cut = fmindex.dedup_words(plain)
     kept = cut.filter("n_removed = 0 or n_removed < n_symbols")
     text = F.when(F.col("n_removed") > 0, F.decode("kept", "UTF-8")).otherwise(F.col("text"))
     kept = kept.withColumn("text", text)
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return kept.select(*docs.columns)
+    return kept.select(*back)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn to the target weights; one that two epochs read stands twice."""
-    return mixing.mix_sources(docs).select(*docs.columns)
+    plain, back = _aside(docs, ["doc_id", "text", "lang", "source"])
+    return mixing.mix_sources(plain).select(*back)
 
 
 def harmonic_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
