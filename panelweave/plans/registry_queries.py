@@ -290,7 +290,7 @@ def _(spark, sf):
     f"""WITH {v.BARS}, {RUNS}, t AS (SELECT b.*, g.reasons <> '' AS blocked, g.models_trained, g.coverage_pct, CASE WHEN g.synthetic THEN 'synthetic' WHEN g.seed THEN 'seed' WHEN g.stale THEN 'stale' ELSE 'live' END AS data_mode, g.mon FROM bars b JOIN gated g ON b.month_end = g.as_of),
     c AS (SELECT * FROM (VALUES ('missing_provenance_market_as_of', (SELECT count(*) FROM t WHERE mon = 7)), ('invalid_run_mode', (SELECT count(*) FROM t WHERE mon % 4 = 1)), ('liveValidated_not_earned', (SELECT count(*) FROM t WHERE mon % 4 = 0)),
       ('invalid_run_mode_extra', 0),
-      ('nan_or_infinity', (SELECT count(*) FROM t WHERE mon = 9)), ('seed_or_synthetic_not_allowed_for_production', (SELECT count(*) FROM t WHERE data_mode IN ('seed', 'synthetic'))), ('stale_not_allowed_for_production', (SELECT count(*) FROM t WHERE data_mode = 'stale')),
+      ('nan_or_infinity:close', (SELECT count(*) FROM t WHERE mon = 9)), ('seed_or_synthetic_not_allowed_for_production', (SELECT count(*) FROM t WHERE data_mode IN ('seed', 'synthetic'))), ('stale_not_allowed_for_production', (SELECT count(*) FROM t WHERE data_mode = 'stale')),
       ('models_trained_zero', (SELECT count(*) FROM t WHERE models_trained <= 0)), ('coverage_below_floor', (SELECT count(*) FROM t WHERE coverage_pct < 95)), ('blocked_row_carries_weight', (SELECT count(*) FROM t WHERE blocked))) x(violation, rows))
     --final SELECT * FROM c WHERE rows > 0""",
     "violation", "rows",
@@ -309,6 +309,31 @@ def _(spark, sf):
     return gt.audit(t, "bars")
 
 
+# Three tables of the same runs: sleeves with nested values, ideas that blocked runs may not have, and a screen
+# that was never made.  Every fourth sleeve tells what to do; scores of October are infinite.
+NESTED = f"""{PICKS}, {RUNS}, sl AS (SELECT p.as_of, p.region, g.reasons <> '' AS blocked, g.mon, count(*) AS n, bool_or(p.pick = 1 AND p.qualified) AS q FROM picks p JOIN gated g ON g.as_of = p.as_of GROUP BY ALL),
+c AS (SELECT * FROM (VALUES ('sleeves', 'blocked_row_carries_sleeve.holdings', (SELECT count(*) FROM sl WHERE blocked)), ('sleeves', 'blocked_row_carries_sleeve.names[].weight_pct', (SELECT count(*) FROM sl WHERE blocked)),
+  ('sleeves', 'blocked_row_tells_sleeve.notes{{}}.reasons[]', (SELECT count(*) FROM sl WHERE blocked AND mon % 4 = 0)), ('sleeves', 'nan_or_infinity:sleeve.notes{{}}.score', (SELECT count(*) FROM sl WHERE mon = 10)),
+  ('sleeves', 'nan_or_infinity:sleeve.names[].weight_pct', (SELECT count(*) FROM sl WHERE mon = 11)), ('sleeves', 'missing_provenance_market_as_of', (SELECT count(*) FROM sl WHERE mon = 7)),
+  ('ideas', 'blocked_run_has_rows', (SELECT count(*) FROM picks p JOIN gated g ON g.as_of = p.as_of WHERE g.reasons <> '')), ('ideas', 'blocked_row_carries_pick', (SELECT count(*) FROM picks p JOIN gated g ON g.as_of = p.as_of WHERE g.reasons <> '')),
+  ('screen', 'missing_table', 1)) x(table_name, violation, rows))"""
+
+
+@register("nested_audit", "G3", f"WITH RECURSIVE {NESTED} --final SELECT * FROM c WHERE rows > 0", "table_name violation", "rows")
+def _(spark, sf):
+    r = gt.block_reasons(runs(spark, sf)).select("as_of", "blocked")
+    p = picks(spark, sf).select("as_of", "region", "entity", "pick", "alpha").join(r, "as_of")
+    mon = F.month("as_of")
+    stamped = lambda df: gt.stamp(df, {"schema_version": "1.0", "model_version": "scoring-1", "run_mode": "paperTrading", "data_mode": "live"}).withColumn("market_as_of", F.when(mon != 7, F.col("as_of").cast("string")) if "sleeve" in df.columns else F.col("as_of").cast("string"))
+    weight = F.when(mon == 11, F.lit(float("nan"))).otherwise(F.lit(8.0))
+    names = F.collect_list(F.struct("entity", weight.alias("weight_pct")))
+    score = F.when(mon == 10, F.lit(float("inf"))).otherwise(F.lit(1.0))
+    note = F.create_map(F.lit("entry"), F.struct(score.alias("score"), F.when(mon % 4 == 0, F.array(F.lit("WAIT for it"), F.lit("x"))).otherwise(F.array(F.lit("trend"))).alias("reasons")))
+    sleeves = p.groupBy("as_of", "region", "blocked").agg(names.alias("names"), F.collect_list("entity").alias("holdings"))
+    sleeves = sleeves.select("as_of", "region", "blocked", F.struct("holdings", "names", note.alias("notes")).alias("sleeve"))
+    return gt.audit_all({"sleeves": stamped(sleeves), "ideas": stamped(p.drop("alpha"))}, required=["sleeves", "ideas", "screen"], ideas=["ideas"])
+
+
 @register("sanitized_export", "S8", f"{B} SELECT entity, ts, CASE WHEN month(ts) NOT IN (2, 3, 4) THEN close END AS value, CASE WHEN month(ts) <> 5 THEN volume END AS nested FROM bars", "entity ts", "", "value nested", 3)
 def _(spark, sf):
     m = F.month("ts")
