@@ -56,3 +56,17 @@ def test_stages_against_brute_force(spark, tmp_path):
 def test_run_counts_as_the_stages(spark):
     out = pipeline.run(spark, SF)
     assert out.columns[:3] == ["doc_id", "start", "length"] and out.count() > 0 and np.isfinite(out.selectExpr("sum(length)").first()[0])
+
+
+def test_stages_keep_own_columns_and_take_an_empty_table(spark, make):
+    words = " ".join(f"k{i}" for i in range(60))
+    rows = [(1, words), (2, words + " end"), (3, " ".join(f"z{i}" for i in range(40)) + " " + words), (4, " ".join(f"y{i}" for i in range(50))), (None, None)]
+    docs = make(rows, clashes=True)
+    docs = docs.selectExpr("doc_id", "text", "lang", "source", "n_chars", *(f"'mine' AS {c}" for c in ("kept", "runs", "n_removed", "n_symbols", "epoch", "n_tokens", "size", "root")))
+    for name, stage in pipeline.STAGES[:4]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        for c in docs.columns[5:]:
+            assert {r[0] for r in out.select(c).distinct().collect()} <= {"mine"}, (name, c)
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+    assert pipeline.STAGES[4][1](spark, docs, SF).count() > 0 and pipeline.STAGES[4][1](spark, docs.limit(0), SF).count() == 0
