@@ -53,13 +53,15 @@ def _unpack(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class Shard:
-    """Contexts that meet: their symbols end to end, and each one's place in document order."""
+    """Contexts that meet: their symbols end to end, and each one's place in document order.
+    Equal windows stand in contexts of one group."""
 
     data: np.ndarray  # bytes
     offsets: np.ndarray  # of contexts in data
     owned: np.ndarray  # windows that start in each context: its first ``owned`` symbols
     doc: np.ndarray
     start: np.ndarray
+    group: np.ndarray  # the anchor, rows of one anchor together
 
 
 @dataclass(frozen=True)
@@ -304,7 +306,8 @@ def _meet(p: Passages):
         data, offsets = utf8(part.column("ctx"))
         doc, at = (part.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "at"))
         start, tid, owned = _unpack(at)
-        ctx, first, size = _runs(p.match(Shard(data, offsets, owned, doc, start), p), owned)
+        group = part.column("h").to_numpy(zero_copy_only=False)
+        ctx, first, size = _runs(p.match(Shard(data, offsets, owned, doc, start, group), p), owned)
         return ranges(doc[ctx], _pack(start[ctx] + first, tid[ctx], size))
 
     def dealt(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
