@@ -22,9 +22,8 @@ BUCKETS = 4096
 MAX_LANGUAGES = 512
 SMOOTHING = 0.5
 ROUNDS = 12
-#: Languages that a document's set may have, and the penalty for each beyond the first in units
-#: of half the logarithm of the trigram count.
-MAX_SET = 4
+#: The penalty for each language of a set beyond the first, in units of half the logarithm of the
+#: trigram count.
 PENALTY = 1.0
 ROWS = 512
 
@@ -117,9 +116,10 @@ def select(counts: np.ndarray, likelihood: np.ndarray) -> tuple[np.ndarray, np.n
     chosen[np.arange(d), top] = 1
     cost = PENALTY * 0.5 * np.log(np.maximum(counts.sum(axis=1), 2))
     best = single.max(axis=1)
-    # No set beats the full mixture's likelihood, so rows it cannot lift over the penalty are done.
+    # No set beats the full mixture's likelihood, so rows it cannot lift over the penalty are done;
+    # a set grows as long as that is possible.
     open_ = np.flatnonzero(best_score - cost > best)
-    for size in range(2, min(MAX_SET, languages) + 1):
+    for size in range(2, languages + 1):
         open_ = open_[best_score[open_] - (size - 1) * cost[open_] > best[open_]]
         if not len(open_):
             break

@@ -28,6 +28,16 @@ def test_mixture_finds_two_languages():
     assert (chosen[1] > 0).tolist() == [False, True, True] and abs(chosen[1, 2] - 0.65) < 0.08
 
 
+def test_mixture_finds_six_of_nine_languages():
+    rng = np.random.default_rng(3)
+    like = rng.dirichlet(np.full(langid.BUCKETS, 0.02), 9).astype(np.float32) + np.float32(1e-9)
+    shares = np.array([0.2, 0.2, 0, 0.15, 0, 0.15, 0.1, 0, 0.2])
+    p = (shares @ like).astype(float)
+    counts = np.bincount(rng.choice(langid.BUCKETS, 3000, p=p / p.sum()), minlength=langid.BUCKETS).astype(np.float32)[None]
+    chosen, _ = langid.select(counts, like)
+    assert (chosen[0] > 0).tolist() == (shares > 0).tolist() and np.abs(chosen[0] - shares).max() < 0.05
+
+
 def test_language_edges(spark, make, edge):
     model = langid.fit(make(edge, clashes=True))
     assert model.languages == ["de", "en"]
