@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stats import col
+from .stats import col, round_even
 
 # 1024 buckets per factor of two, so that values all near one number, such as ratios near 1,
 # still spread over many; the offset keeps every double's log positive.
@@ -85,7 +85,7 @@ def percentile_rank(
     out = average_rank(df, keys, columns, "_ar", ids)
     for c in columns:
         share = F.col(f"{c}_ar") / F.col(f"{c}_ar_of") * 100
-        out = out.withColumn(c + suffix, share if digits is None else F.bround(share, digits))
+        out = out.withColumn(c + suffix, share if digits is None else round_even(share, digits))
     return out.drop(*[f"{c}_ar" for c in columns], *[f"{c}_ar_of" for c in columns])
 
 

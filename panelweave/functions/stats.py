@@ -33,6 +33,14 @@ def finite(c: str | Column) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))), c)
 
 
+def round_even(c: str | Column, digits: int = 0) -> Column:
+    """Half-even rounding in double arithmetic: of the scaled number, as SQL's round_even does it.
+    ``F.bround`` rounds the shortest decimal instead, and so parts from it where a difference of
+    rounded numbers lies by its last bit beside a half."""
+    scale = float(10**digits)
+    return F.rint(col(c) * scale) / scale + 0.0  # no -0.0
+
+
 def row_mean(*cols: str | Column) -> Column:
     """Mean of the non-null arguments, NULL when all are null."""
     cs = [col(c) for c in cols]

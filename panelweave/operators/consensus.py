@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranks import weighted_median
+from ..functions.stats import round_even
 
 # Fixed values.
 SELF_INTERESTED = "companyIR"
@@ -60,7 +61,7 @@ def consensus(weighted: DataFrame) -> DataFrame:
     list is unbounded and is never gathered into one value.
     """
     stats = weighted.groupBy("theme").agg(
-        F.bround(F.max("stance") - F.min("stance"), 2).alias("dispersion"),
+        round_even(F.max("stance") - F.min("stance"), 2).alias("dispersion"),
         F.countDistinct("institution").alias("institutions"),
         F.count(F.lit(1)).alias("n_views"),
     )
@@ -71,7 +72,7 @@ def consensus(weighted: DataFrame) -> DataFrame:
     )
     return (
         stats.join(mid, "theme", "left")
-        .withColumns({"median_stance": F.bround("_mid", 2), "agreement": agreement})
+        .withColumns({"median_stance": round_even("_mid", 2), "agreement": agreement})
         .drop("_mid")
         .orderBy(F.col("institutions").desc(), F.abs(F.coalesce("median_stance", F.lit(0.0))).desc(), "theme")
     )
@@ -109,4 +110,4 @@ def verification_coverage(classified: DataFrame, deduped: DataFrame) -> DataFram
     b = deduped.agg(F.count(F.lit(1)).alias("verified")).withColumn("_k", F.lit(1))
     df = a.join(b, "_k").drop("_k")
     share = F.coalesce(F.try_divide(F.col("verified").cast("double"), F.col("candidates").cast("double")), F.lit(0.0))
-    return df.withColumn("coverage", F.bround(share, 2))
+    return df.withColumn("coverage", round_even(share, 2))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranks import percentile_rank
-from ..functions.stats import TRADING_DAYS, change, clip, present, ratio, row_mean
+from ..functions.stats import TRADING_DAYS, change, clip, present, ratio, round_even, row_mean
 from ..functions.timewin import back, with_position
 from ..session import cut_lineage
 
@@ -230,7 +230,7 @@ def score_cross_section(xsec: DataFrame, min_sleeves: int = 3, min_financial: fl
         {
             "value_trap": value_trap(),
             "data_insufficient": (F.col("sleeves_present") < min_sleeves)
-            | (F.bround("financial_coverage", 3) < min_financial),
+            | (round_even("financial_coverage", 3) < min_financial),
         }
     ).where(F.col("alpha").isNotNull())
     return enough(df)
@@ -254,7 +254,7 @@ def research_view(insufficient: Column, pct: Column) -> Column:
 def research_rows(scored: DataFrame) -> DataFrame:
     """Published research rows: alpha, percentiles, view, coverage and risk block."""
     df = percentile_rank(scored, GROUP, ["alpha", *FACTOR_WEIGHTS])
-    r = lambda c, d: F.bround(c, d)
+    r = lambda c, d: round_even(c, d)
     return df.select(
         *GROUP, "entity", "sector", *[c for c in ("ts",) if c in df.columns],
         r("alpha", 3).alias("alpha"),
@@ -331,7 +331,7 @@ def entry_state(df: DataFrame) -> DataFrame:
         .otherwise("WATCH")
     )
     return df.withColumns(
-        {"entry_state": state, "entry_reasons": reasons, "overheat_percentile": F.bround("overheat_pct", 0)}
+        {"entry_state": state, "entry_reasons": reasons, "overheat_percentile": round_even("overheat_pct", 0)}
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import change, ratio
+from ..functions.stats import change, ratio, round_even
 from ..functions.timewin import (
     axis, back, ffill, pct_change, roll_mean, rolling_drawdown, trailing, with_position,
 )
@@ -32,7 +32,7 @@ def max_drawdown(df: DataFrame, n: int = 252, out: str = "max_dd") -> DataFrame:
 def volume_surge(df: DataFrame, short: int = 5, long: int = 60) -> DataFrame:
     """Mean volume of the last 5 rows over the last 60, two decimals; null before row 60."""
     recent = F.avg("volume").over(trailing(short))
-    return df.withColumn("volume_surge", F.bround(ratio(recent, F.nullif(roll_mean("volume", long), F.lit(0.0))), 2))
+    return df.withColumn("volume_surge", round_even(ratio(recent, F.nullif(roll_mean("volume", long), F.lit(0.0))), 2))
 
 
 def adverse_moves(df: DataFrame, days: int = 20, gaps: int = 10) -> DataFrame:
@@ -80,14 +80,14 @@ def diagnose(features: DataFrame) -> DataFrame:
     return df.select(
         *keep,
         F.when(above200 & golden, "Bull").when(below200 & ~golden, "Bear").otherwise("Transition").alias("regime"),
-        F.bround(c, 2).alias("last_close"),
-        F.bround(m50, 2).alias("ma50"),
-        F.bround(m200, 2).alias("ma200"),
-        F.bround(vol, 1).alias("realized_vol"),
-        F.bround("rsi_14", 1).alias("rsi14"),
-        F.bround("max_dd", 1).alias("max_drawdown_252d"),
-        F.bround(F.col("rel_momentum") * 100, 1).alias("rel_momentum"),
-        F.bround(F.col("price_52w_high") * 100, 1).alias("pct_52w_high"),
+        round_even(c, 2).alias("last_close"),
+        round_even(m50, 2).alias("ma50"),
+        round_even(m200, 2).alias("ma200"),
+        round_even(vol, 1).alias("realized_vol"),
+        round_even("rsi_14", 1).alias("rsi14"),
+        round_even("max_dd", 1).alias("max_drawdown_252d"),
+        round_even(F.col("rel_momentum") * 100, 1).alias("rel_momentum"),
+        round_even(F.col("price_52w_high") * 100, 1).alias("pct_52w_high"),
         F.coalesce(c > m50, false).alias("above_ma50"),
         above200.alias("above_ma200"),
         F.col("momentum_60d").alias("mom60"),
@@ -113,13 +113,13 @@ def entry_features(features: DataFrame, earnings: DataFrame | None = None) -> Da
         above("ma20").alias("above_ma20"),
         above("ma50").alias("above_ma50"),
         above("ma200").alias("above_ma200"),
-        F.bround(change(F.nullif(F.col("close"), F.lit(0.0)), F.nullif(F.col("ma200"), F.lit(0.0))) * 100, 1).alias("dist200_pct"),
-        F.bround("rsi_14", 1).alias("rsi14"),
-        F.bround(F.col("volatility_20d") * 100, 1).alias("vol20_pct"),
-        F.bround(F.when(vol60 > 0, ratio(vol20, vol60)), 2).alias("vol_spike"),
-        F.bround(F.col("momentum_60d") * 100, 1).alias("mom60_pct"),
-        F.bround("max_adverse", 1).alias("max_adverse_pct"),
-        F.bround("gap_down", 1).alias("gap_down_pct"),
+        round_even(change(F.nullif(F.col("close"), F.lit(0.0)), F.nullif(F.col("ma200"), F.lit(0.0))) * 100, 1).alias("dist200_pct"),
+        round_even("rsi_14", 1).alias("rsi14"),
+        round_even(F.col("volatility_20d") * 100, 1).alias("vol20_pct"),
+        round_even(F.when(vol60 > 0, ratio(vol20, vol60)), 2).alias("vol_spike"),
+        round_even(F.col("momentum_60d") * 100, 1).alias("mom60_pct"),
+        round_even("max_adverse", 1).alias("max_adverse_pct"),
+        round_even("gap_down", 1).alias("gap_down_pct"),
         "volume_surge",
     )
     if earnings is None:
@@ -164,17 +164,17 @@ def index_summary(closes: DataFrame, spark_points: int = 63, min_rows: int = 30)
     turn = F.when(F.year("ts") != F.year(back("ts", 1)), back("close", 1))
     df = df.withColumn("_turn", turn)
     df = df.withColumn("_base", F.coalesce(ffill("_turn"), F.col("_first")))
-    pct = lambda base: F.bround(change("close", base) * 100, 2)
+    pct = lambda base: round_even(change("close", base) * 100, 2)
     return df.where((F.col("_left") == 0) & (F.col("pos") >= min_rows)).select(
         "entity",
         F.col("ts").alias("as_of"),
-        F.bround("close", 2).alias("last"),
+        round_even("close", 2).alias("last"),
         pct("_prev").alias("chg_1d_pct"),
         pct("_m1").alias("chg_1m_pct"),
         pct("_base").alias("ytd_pct"),
         pct("_hi").alias("from_52w_high_pct"),
         (F.col("close") >= F.col("_ma200")).alias("above_200d"),
-        F.transform("_spark", lambda x: F.bround(x, 2)).alias("spark"),
+        F.transform("_spark", lambda x: round_even(x, 2)).alias("spark"),
     )
 
 
@@ -195,7 +195,7 @@ def rotation(bars: DataFrame, benchmark: DataFrame, on: list[str], mean_rows: in
     """
     df = bars.join(benchmark.select(*on, "bench"), on, "left").withColumn("bench", ffill("bench"))
     df = df.withColumns(
-        {"ret_1m_pct": F.bround(trailing_return("close", 21), 1), "ret_3m_pct": F.bround(trailing_return("close", 63), 1)}
+        {"ret_1m_pct": round_even(trailing_return("close", 21), 1), "ret_3m_pct": round_even(trailing_return("close", 63), 1)}
     )
     df = df.withColumn("_rs", ratio("close", "bench")).where(F.col("_rs").isNotNull())
     df = with_position(df)
@@ -208,8 +208,8 @@ def rotation(bars: DataFrame, benchmark: DataFrame, on: list[str], mean_rows: in
     keep = [k for k in ("entity", "region", "ts") if k in df.columns]
     return df.select(
         *keep,
-        F.bround("_ratio", 2).alias("rs_ratio"),
-        F.bround("_mom", 2).alias("rs_mom"),
+        round_even("_ratio", 2).alias("rs_ratio"),
+        round_even("_mom", 2).alias("rs_mom"),
         quadrant(F.col("_ratio"), F.col("_mom")).alias("quadrant"),
         "ret_1m_pct",
         "ret_3m_pct",
@@ -222,5 +222,5 @@ def detail_table(diagnosed: DataFrame) -> DataFrame:
     return diagnosed.select(
         "entity", "region", F.col("ts").alias("as_of"), "regime", "last_close", "ma50", "ma200", "rsi14",
         "realized_vol", "max_drawdown_252d", "rel_momentum", "pct_52w_high",
-        F.bround(F.col("mom60") * 100, 1).alias("mom60_pct"), "risk_flags", *keep,
+        round_even(F.col("mom60") * 100, 1).alias("mom60_pct"), "risk_flags", *keep,
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import bday_add, bday_count
 from ..functions.ranks import average_rank
-from ..functions.stats import change
+from ..functions.stats import change, round_even
 from ..functions.timewin import axis
 
 HORIZONS = (21, 63, 126, 252)
@@ -136,8 +136,8 @@ def outcomes(signals: DataFrame, bars: DataFrame, benchmarks: DataFrame, horizon
     entry = [c for c in ("entry_state",) if c in df.columns]
     return df.select(
         "id", "date", "entity", "region", "model_version", "view", "alpha", *entry, "horizon",
-        F.bround("fwd", 4).alias("fwd"), F.bround(excess, 4).alias("excess"),
-        F.bround("mfe", 4).alias("mfe"), F.bround("mae", 4).alias("mae"),
+        round_even("fwd", 4).alias("fwd"), round_even(excess, 4).alias("excess"),
+        round_even("mfe", 4).alias("mfe"), round_even("mae", 4).alias("mae"),
     )
 
 
@@ -185,7 +185,7 @@ def rank_ic(sample: DataFrame) -> DataFrame:
         F.min("alpha").alias("_a0"), F.max("alpha").alias("_a1"), F.min("fwd").alias("_f0"), F.max("fwd").alias("_f1"),
         F.corr("alpha_ar", "fwd_ar").alias("ic_exact"),
     ).where((F.col("n") >= 3) & (F.col("_a0") < F.col("_a1")) & (F.col("_f0") < F.col("_f1")))
-    return g.select(*keys, "n", F.bround("ic_exact", 6).alias("ic"), "ic_exact")
+    return g.select(*keys, "n", round_even("ic_exact", 6).alias("ic"), "ic_exact")
 
 
 def ic_summary(ics: DataFrame, by_region: bool = False) -> DataFrame:
@@ -193,9 +193,9 @@ def ic_summary(ics: DataFrame, by_region: bool = False) -> DataFrame:
     keys = ["horizon", "region"] if by_region else ["horizon"]
     c = "ic_exact" if by_region else "ic"
     return ics.groupBy(*keys).agg(
-        F.bround(F.avg(c), 3).alias("mean_ic"),
-        F.bround(F.median(c), 3).alias("median_ic"),
-        F.bround(F.avg((F.col(c) > 0).cast("double")), 3).alias("hit_ratio"),
+        round_even(F.avg(c), 3).alias("mean_ic"),
+        round_even(F.median(c), 3).alias("median_ic"),
+        round_even(F.avg((F.col(c) > 0).cast("double")), 3).alias("hit_ratio"),
         F.count(F.lit(1)).alias("cross_sections"),
         F.sum("n").alias("n_signals"),
     )
@@ -206,12 +206,12 @@ def signal_perf(sample: DataFrame) -> DataFrame:
     of = lambda view: F.when(F.col("view") == view, F.col("fwd"))
     aggs = [
         F.count(F.lit(1)).alias("n"),
-        F.bround(F.avg("excess"), 4).alias("mean_excess"),
-        F.bround(F.avg("excess") - 0.001, 4).alias("mean_excess_after_cost"),
-        F.bround(F.avg((of("POSITIVE") > 0).cast("double")), 3).alias("positive_hit_rate"),
+        round_even(F.avg("excess"), 4).alias("mean_excess"),
+        round_even(F.avg("excess") - 0.001, 4).alias("mean_excess_after_cost"),
+        round_even(F.avg((of("POSITIVE") > 0).cast("double")), 3).alias("positive_hit_rate"),
     ]
     for view in ("POSITIVE", "NEUTRAL", "NEGATIVE"):
-        aggs += [F.count(of(view)).alias(f"n_{view.lower()}"), F.bround(F.avg(of(view)), 4).alias(f"fwd_{view.lower()}")]
+        aggs += [F.count(of(view)).alias(f"n_{view.lower()}"), round_even(F.avg(of(view)), 4).alias(f"fwd_{view.lower()}")]
     return sample.groupBy("horizon").agg(*aggs)
 
 
@@ -237,8 +237,8 @@ def basket_risk(sample: DataFrame) -> DataFrame:
     total = F.aggregate(tail, F.lit(0.0), lambda a, x: a + x)
     return g.select(
         "horizon", F.size("_r").alias("n_dates"),
-        F.bround(F.aggregate("_r", start, step, lambda s: s["dd"]), 4).alias("mdd"),
-        F.bround(total / worst, 4).alias("cvar95"),
+        round_even(F.aggregate("_r", start, step, lambda s: s["dd"]), 4).alias("mdd"),
+        round_even(total / worst, 4).alias("cvar95"),
     )
 
 
@@ -251,7 +251,7 @@ def validation_status(outs: DataFrame, min_days: int = 126) -> DataFrame:
     """
     chosen = sampled(outs.where(F.col("horizon") == 63))
     ics = rank_ic(chosen)
-    regions = ics.groupBy("region").agg(F.bround(F.avg("ic_exact"), 3).alias("mean_ic"), F.count(F.lit(1)).alias("n_dates"))
+    regions = ics.groupBy("region").agg(round_even(F.avg("ic_exact"), 3).alias("mean_ic"), F.count(F.lit(1)).alias("n_dates"))
     sides = [
         outs.agg(
             F.coalesce(bday_count(F.min("date"), F.max("date")), F.lit(0)).cast("long").alias("paper_days"),
@@ -259,7 +259,7 @@ def validation_status(outs: DataFrame, min_days: int = 126) -> DataFrame:
         ),
         ics.agg(F.count(F.lit(1)).alias("cross_sections")),
         regions.agg(F.sort_array(F.collect_list(F.struct("region", "mean_ic", "n_dates"))).alias("region_ic")),  # a row per region
-        chosen.agg(F.countDistinct("date").alias("eligible_dates"), F.bround(F.avg("excess") - 0.001, 4).alias("excess_after_cost")),
+        chosen.agg(F.countDistinct("date").alias("eligible_dates"), round_even(F.avg("excess") - 0.001, 4).alias("excess_after_cost")),
         basket_risk(chosen).agg(F.max("mdd").alias("mdd"), F.max("cvar95").alias("cvar95")),
     ]
     # Each side is one row.
@@ -350,7 +350,7 @@ def factor_ic(bars: DataFrame, factor: str = "momentum", horizon: int = 63, step
     both = score.join(fwd, [*keys, "entity", "a"], "left").join(grid, [*keys, "a"])
     both = average_rank_common(both, [*keys, "date"])
     return both.groupBy(*keys, "date").agg(
-        F.bround(F.corr("score_ar", "fwd_ar"), 3).alias("rank_ic"), F.count(F.lit(1)).alias("n")
+        round_even(F.corr("score_ar", "fwd_ar"), 3).alias("rank_ic"), F.count(F.lit(1)).alias("n")
     ).where((F.col("n") >= 5) & F.col("rank_ic").isNotNull())
 
 
@@ -364,9 +364,9 @@ def factor_ic_summary(series: DataFrame, keys: list[str] = ["region"]) -> DataFr
     c = F.col("rank_ic")
     mean, sd, n = F.avg(c), F.stddev_samp(c), F.count(c)
     return series.groupBy(*keys).agg(
-        n.alias("n"), F.bround(mean, 3).alias("mean_ic"),
-        F.bround(F.avg((c > 0).cast("double")), 3).alias("hit_rate"),
-        F.bround(F.when((n > 1) & (sd > 0), mean / F.nullif(sd, F.lit(0.0)) * F.sqrt(n.cast("double"))), 2).alias("t_stat"),
+        n.alias("n"), round_even(mean, 3).alias("mean_ic"),
+        round_even(F.avg((c > 0).cast("double")), 3).alias("hit_rate"),
+        round_even(F.when((n > 1) & (sd > 0), mean / F.nullif(sd, F.lit(0.0)) * F.sqrt(n.cast("double"))), 2).alias("t_stat"),
     )
 
 

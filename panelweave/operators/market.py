@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranks import group_median
-from ..functions.stats import TRADING_DAYS, clip
+from ..functions.stats import TRADING_DAYS, clip, round_even
 from ..functions.timewin import pct_change, roll_std
 from .diagnosis import trailing_return
 
@@ -52,17 +52,17 @@ def sentiment(breadth_df: DataFrame, macro: DataFrame) -> DataFrame:
     s = F.col("_score")
     return df.select(
         "as_of", "region",
-        F.bround(s, 0).cast("int").alias("score"),
+        round_even(s, 0).cast("int").alias("score"),
         F.when(s >= 60, "bullish").when(s < 40, "bearish").otherwise("neutral").alias("label"),
         F.when(s < 25, "extreme fear").when(s < 45, "fear").when(s < 55, "neutral").when(s < 75, "greed").otherwise("extreme greed").alias("fear_greed"),
-        F.bround("breadth_200", 0).cast("int").alias("breadth_200"),
+        round_even("breadth_200", 0).cast("int").alias("breadth_200"),
     )
 
 
 # ------------------------------------------------------------------ direction
 def horizon_returns(closes: DataFrame) -> DataFrame:
     """3, 6 and 12-month percent returns per row, two decimals."""
-    r = lambda k: F.bround(trailing_return("close", k), 2)
+    r = lambda k: round_even(trailing_return("close", k), 2)
     return closes.select("*", r(63).alias("ret_3m"), r(126).alias("ret_6m"), r(252).alias("ret_12m"))
 
 
@@ -93,8 +93,8 @@ def vol_target(benchmark: DataFrame, keys: tuple[str, ...] = ("region",)) -> Dat
     df = df.withColumn("_v", roll_std("_r", 21, w) * (TRADING_DAYS ** 0.5) * 100).where(F.col("_v") > 0)
     return df.select(
         *keys, "ts",
-        F.bround("_v", 1).alias("realized_vol"),
-        F.bround(clip(F.lit(TARGET_VOL_PCT) / F.col("_v") * 100, 20, 100), 0).cast("int").alias("exposure_pct"),
+        round_even("_v", 1).alias("realized_vol"),
+        round_even(clip(F.lit(TARGET_VOL_PCT) / F.col("_v") * 100, 20, 100), 0).cast("int").alias("exposure_pct"),
     )
 
 
@@ -103,8 +103,8 @@ def tilt(returns: DataFrame) -> DataFrame:
     Input: as_of, region, ret_3m, ret_6m."""
     at = lambda r, c: F.max(F.when(F.col("region") == r, F.col(c)))
     g = returns.groupBy("as_of").agg(
-        F.bround(at("KR", "ret_3m") - at("US", "ret_3m"), 1).alias("d3"),
-        F.bround(at("KR", "ret_6m") - at("US", "ret_6m"), 1).alias("d6"),
+        round_even(at("KR", "ret_3m") - at("US", "ret_3m"), 1).alias("d3"),
+        round_even(at("KR", "ret_6m") - at("US", "ret_6m"), 1).alias("d6"),
     ).where(F.col("d3").isNotNull() & F.col("d6").isNotNull())
     label = F.when((F.col("d3") > 2) & (F.col("d6") > 0), "KR").when((F.col("d3") < -2) & (F.col("d6") < 0), "US").otherwise("neutral")
     return g.withColumn("tilt", label)
@@ -143,10 +143,10 @@ def direction(asofs: DataFrame, dual: DataFrame, trend: DataFrame, mood: DataFra
     df = df.where(known).withColumn("_s", score)
     s = F.col("_s")
     mult = F.when(s >= 60, 1.0).when(s >= 45, 0.8).otherwise(0.5)
-    equity = F.bround(F.coalesce(e, F.lit(70)) * mult / 5, 0) * 5
+    equity = round_even(F.coalesce(e, F.lit(70)) * mult / 5, 0) * 5
     equity = F.least(F.greatest(equity, F.lit(10.0)), F.lit(100.0)).cast("int")
     return df.select(
-        "as_of", F.bround(s, 0).cast("int").alias("score"),
+        "as_of", round_even(s, 0).cast("int").alias("score"),
         F.when(s >= 60, "add risk").when(s >= 45, "hold").otherwise("defend").alias("stance"),
         equity.alias("equity_pct"), (100 - equity).alias("cash_pct"),
     )
@@ -168,5 +168,5 @@ def factor_excess(styles: DataFrame, benchmark: DataFrame, on: list[str]) -> Dat
         df = s.join(b, group, "left")
     else:
         df = s.withColumn("_one", F.lit(1)).join(b.withColumn("_one", F.lit(1)), "_one", "left")
-    df = df.select("entity", *group, *[F.bround(F.col(f"_s_{n}") - F.col(f"_b_{n}"), 1).alias(n) for n in spans])
+    df = df.select("entity", *group, *[round_even(F.col(f"_s_{n}") - F.col(f"_b_{n}"), 1).alias(n) for n in spans])
     return df.dropna(how="all", subset=list(spans)).orderBy(F.col("ex_3m_pct").desc_nulls_last(), "entity")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.stats import shrink
+from ..functions.stats import round_even, shrink
 from ..session import cut_lineage
 from . import ensemble, portfolio, quality
 
@@ -220,7 +220,7 @@ def current_signal(df: DataFrame, features: list[str], target: str, cfg: ModelCo
     scored = score_folds(frame.join(newest, ["entity", "ts"]).withColumn("fold", F.lit(0)), models)
     out = scored.withColumn("prob_cal", shrink("prob_cal", F.lit(base), float(cfg.calibration / max(horizon, 1))))
     return out.select(
-        *keep, F.bround("prob_cal", 4).alias("prob_up"), F.bround("prob_raw", 4).alias("prob_up_raw"),
+        *keep, round_even("prob_cal", 4).alias("prob_up"), round_even("prob_raw", 4).alias("prob_up_raw"),
         F.when(F.col("prob_cal") >= 0.5, "UP").otherwise("DOWN").alias("prediction"),
     )
 

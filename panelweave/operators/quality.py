@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import clip, ratio, wilson_lower
+from ..functions.stats import clip, ratio, round_even, wilson_lower
 
 KEYS = ["entity", "horizon"]
 # Fixed values.
@@ -35,7 +35,7 @@ def dynamic_threshold(pred: DataFrame, quantile: float = 0.80, fallback: float =
     when it is missing or saturated."""
     q = pred.groupBy(*keys).agg(F.percentile("prob_cal", F.lit(quantile)).alias("_q"))
     usable = F.col("_q") < 0.999
-    return q.select(*keys, F.bround(F.when(usable, F.col("_q")).otherwise(fallback), 4).alias("threshold"))
+    return q.select(*keys, round_even(F.when(usable, F.col("_q")).otherwise(fallback), 4).alias("threshold"))
 
 
 def classify_alert(prob: str = "prob_up", threshold: str = "threshold") -> Column:
@@ -135,7 +135,7 @@ def publish(graded: DataFrame) -> DataFrame:
     four = ["baseline", "precision", "recall", "f1", "brier", "naive_brier", "brier_skill"]
     points = ["lift", "lift_ci_lower", "recent_lift"]
     return graded.withColumns(
-        {**{c: F.bround(c, 4) for c in four}, **{c: F.bround(F.col(c) * 100, 2) for c in points}}
+        {**{c: round_even(c, 4) for c in four}, **{c: round_even(F.col(c) * 100, 2) for c in points}}
     )
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.asof import asof_merge
 from ..functions.dates import bday_add
-from ..functions.stats import change, dead_band_sign, ratio
+from ..functions.stats import change, dead_band_sign, ratio, round_even
 
 # Indicator, axis, sign, release lag in business days, transform.
 REGISTRY = [
@@ -198,11 +198,11 @@ def indicator_reads(macro: DataFrame, indicators: DataFrame, asofs: DataFrame) -
     days = F.datediff("as_of", "obs_date")
     return seen.select(
         "as_of", "indicator", "axis", "sign", "position", "obs_date",
-        F.bround("value", 4).alias("latest"),
-        F.bround("transformed", 4).alias("transformed"),
-        F.bround("change", 4).alias("change"),
-        F.bround("annualized_3m", 4).alias("annualized_3m"),
-        F.bround("z", 2).alias("z"),
+        round_even("value", 4).alias("latest"),
+        round_even("transformed", 4).alias("transformed"),
+        round_even("change", 4).alias("change"),
+        round_even("annualized_3m", 4).alias("annualized_3m"),
+        round_even("z", 2).alias("z"),
         "direction",
         (F.col("sign") * F.col("direction")).alias("contribution"),
         days.alias("freshness_days"),
@@ -231,12 +231,12 @@ def axis_summary(reads: DataFrame, indicators: DataFrame, asofs: DataFrame) -> D
     agree = F.coalesce(F.abs(value), F.lit(0.0))
     return df.select(
         "as_of", "axis",
-        F.bround(value, 2).alias("value"),
+        round_even(value, 2).alias("value"),
         F.when(value > MIN_DIRECTION, "positive").when(value < -MIN_DIRECTION, "negative").when(value.isNotNull(), "flat").alias("direction"),
-        F.when(n > 0, F.bround(cover * fresh * (0.5 + 0.5 * agree), 2)).otherwise(0.0).alias("confidence"),
-        F.bround(F.when(n > 0, cover).otherwise(0.0), 2).alias("coverage"),
-        F.bround(fresh, 2).alias("freshness"),
-        F.bround(agree, 2).alias("agreement"),
+        F.when(n > 0, round_even(cover * fresh * (0.5 + 0.5 * agree), 2)).otherwise(0.0).alias("confidence"),
+        round_even(F.when(n > 0, cover).otherwise(0.0), 2).alias("coverage"),
+        round_even(fresh, 2).alias("freshness"),
+        round_even(agree, 2).alias("agreement"),
         n.alias("n_indicators"),
     )
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stats import round_even
+
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
     """The first k rows per group.
@@ -256,7 +258,7 @@ def coverage(requested: DataFrame, present: DataFrame, key: str = "entity") -> D
     return joined.agg(
         F.count(F.lit(1)).alias("requested"),
         F.count("_have").alias("fetched"),
-        F.bround(100.0 * F.try_divide(F.count("_have").cast("double"), F.count(F.lit(1)).cast("double")), 1).alias("coverage_pct"),
+        round_even(100.0 * F.try_divide(F.count("_have").cast("double"), F.count(F.lit(1)).cast("double")), 1).alias("coverage_pct"),
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.stats import clip, shrink
+from ..functions.stats import clip, round_even, shrink
 from ..functions.timewin import pct_change
 from ..operators import diagnosis as dg
 from ..operators import features as fx
@@ -270,7 +270,7 @@ def signals(spark, sf):
 
 def fresh_signals(spark, sf):
     snap = src.month_snapshot(v.bars(spark, sf))
-    details = snap.select("as_of", "entity", F.col("as_of").alias("ts"), F.bround("close", 2).alias("last_close"))
+    details = snap.select("as_of", "entity", F.col("as_of").alias("ts"), round_even("close", 2).alias("last_close"))
     return lg.ledger_records(rows(spark, sf), details, model_version=MODEL, schema_version=SCHEMA, benchmarks={"US": "US", "KR": "KR"})
 
 
@@ -417,7 +417,7 @@ def _(spark, sf):
     "region_ic live_validation_eligible live_validated reasons", "paper_days matured_signals cross_sections eligible_dates", "excess_after_cost mdd cvar95", 4,
 )
 def _(spark, sf):
-    one = lambda r: F.concat(r["region"], F.lit("="), F.bround(r["mean_ic"] * 1000, 0).cast("long").cast("string"), F.lit("/"), r["n_dates"].cast("string"))
+    one = lambda r: F.concat(r["region"], F.lit("="), round_even(r["mean_ic"] * 1000, 0).cast("long").cast("string"), F.lit("/"), r["n_dates"].cast("string"))
     status = lg.validation_status(outs(spark, sf))
     return status.withColumns({"reasons": F.array_join("reasons", ","), "region_ic": F.array_join(F.transform("region_ic", one), ",")})
 
@@ -430,7 +430,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     maps = lg.horizon_map(outs(spark, sf))
-    bps = lambda e: F.concat(e["key"].cast("string"), F.lit(":"), F.bround(e["value"]["fwd"] * 10000, 0).cast("long").cast("string"))
+    bps = lambda e: F.concat(e["key"].cast("string"), F.lit(":"), round_even(e["value"]["fwd"] * 10000, 0).cast("long").cast("string"))
     return maps.select("id", F.array_join(F.transform(F.sort_array(F.map_entries("horizons")), bps), ",").alias("horizons"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.stats import finite, ratio
+from ..functions.stats import finite, ratio, round_even
 
 RAW_FIELDS = [
     "trailing_pe", "forward_pe", "price_to_book", "roe", "profit_margin", "operating_margin",
@@ -38,7 +38,7 @@ def inverse_yield(multiple: str, upper: float | None = None) -> Column:
     """1 / multiple to four decimals for a positive multiple (below ``upper``)."""
     m = F.col(multiple)
     ok = m > 0 if upper is None else (m > 0) & (m < upper)
-    return F.when(ok, F.bround(ratio(F.lit(1.0), F.nullif(m, F.lit(0.0))), 4))
+    return F.when(ok, round_even(ratio(F.lit(1.0), F.nullif(m, F.lit(0.0))), 4))
 
 
 def with_yields(df: DataFrame) -> DataFrame:
@@ -49,6 +49,6 @@ def with_yields(df: DataFrame) -> DataFrame:
             "earnings_yield": inverse_yield("trailing_pe", 1000.0),
             "fwd_earnings_yield": inverse_yield("forward_pe", 1000.0),
             "book_yield": inverse_yield("price_to_book"),
-            "fcf_yield": F.when(cap > 0, F.bround(ratio(fcf, F.nullif(cap, F.lit(0.0))), 4)),
+            "fcf_yield": F.when(cap > 0, round_even(ratio(fcf, F.nullif(cap, F.lit(0.0))), 4)),
         }
     )

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.stats import change
+from ..functions.stats import change, round_even
 from ..operators.ledger import HORIZONS
 
 DELAY = "5 days"
@@ -110,7 +110,7 @@ def matured(bars: DataFrame, signals: DataFrame, benchmarks: DataFrame, horizons
     df = found.join(start, ["benchmark", "bar_ts"], "left").join(end, ["benchmark", "end_ts"], "left")
     values = {"fwd": F.col("fwd"), "excess": F.col("fwd") - change("_b1", "_b0"), "mfe": F.col("mfe"), "mae": F.col("mae")}
     names = [f.name for f in OUTCOME_SCHEMA.fields]
-    return df.select(*[(F.bround(values[c], 4) if c in values else F.col(c)).alias(c) for c in names])
+    return df.select(*[(round_even(values[c], 4) if c in values else F.col(c)).alias(c) for c in names])
 
 
 def start_maturity(bars: DataFrame, signals: DataFrame, benchmarks: DataFrame, outcome_path: str, checkpoint: str, horizons=HORIZONS, delay: str = DELAY):

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from panelweave.functions import dates, ranks, stats, timewin
+from panelweave.operators import market
 from tests.util import bars, date, walk
 
 
@@ -118,3 +119,21 @@ def test_the_rank_plan_does_not_grow_with_the_columns(spark):
 def test_buckets_spread_values_that_lie_near_one_number(spark):
     df = spark.range(1000).select((F.lit(100.0) + F.col("id") / 500).alias("v"))
     assert df.select(ranks.order_bucket("v")).distinct().count() > 20
+
+
+def test_halves_of_rounded_differences_round_as_in_sql(spark):
+    import duckdb
+
+    rng = random.Random(5)
+    pairs = [(rng.randint(-3000, 3000) / 100, rng.randint(-3000, 3000) / 100) for _ in range(3000)] + [(8.15, 1.1), (None, 1.0)]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a double, b double")
+    got = df.select("i", *[stats.round_even(F.col("a") - F.col("b"), d).alias(f"d{d}") for d in (0, 1, 2, 4)]).toPandas().sort_values("i")  # noqa: F841
+    rows = df.toPandas()  # noqa: F841
+    apart = duckdb.sql("SELECT count(*) FROM rows JOIN got USING (i) WHERE " + " OR ".join(f"round_even(a - b, {d}) IS DISTINCT FROM d{d}" for d in (0, 1, 2, 4)))
+    assert apart.fetchall() == [(0,)]
+
+
+def test_tilt_rounds_a_difference_beside_a_half_as_its_sql_does(spark):
+    rows = [(date("2024-01-31"), "KR", 28.45, 1.0), (date("2024-01-31"), "US", 1.1, 0.0)]
+    (r,) = market.tilt(spark.createDataFrame(rows, "as_of date, region string, ret_3m double, ret_6m double")).collect()
+    assert 28.45 - 1.1 == 27.349999999999998 and (r.d3, r.tilt) == (27.4, "KR")
