@@ -4,8 +4,8 @@ Symbols are bytes or words.  Exact copies of a whole text are settled first, by
 other texts each window is owned by its anchor, a gram of ``gram`` symbols inside it that only the
 window's content picks, so equal windows have equal anchors:
 
-1. every text reports its anchors' hashes once per chunk; the hashes that more than one
-   document (or place) reports are found in one shuffle by hash;
+1. every text reports its anchors' hashes once per chunk, packed to a few bytes each; the hashes
+   that more than one document (or place) reports are found in one shuffle by buckets of them;
 2. the texts that hold such anchors send, for each, the context: the run of symbols that covers
    all windows which the anchor owns.  Equal contexts of a chunk travel once;
 3. contexts meet by anchor.  Of equal contexts all but the first are covered at once; the rest
@@ -38,6 +38,15 @@ SHARD_BYTES = 2 << 20
 GROUP_BYTES = 6 << 20
 
 
+#: Bytes of texts looked at in one step: a step holds about a hundred bytes for each.
+TEXT_BYTES = 1 << 20
+#: Anchors whose hashes are reported together, and buckets of hashes to a shuffle partition; a bucket
+#: is settled in one piece, and a report has a row for each.
+ANCHORS, BUCKETS = 1 << 20, 2
+
+
+ONE = np.uint64(1)
+
 #: Tags that tell apart texts which share an id.
 TAGS = 1 << 20
 
@@ -141,8 +150,8 @@ def anchors(s: Symbols, p: Passages) -> tuple[np.ndarray, np.ndarray, np.ndarray
     new = np.ones(len(starts), bool)
     new[1:] = (place[1:] != place[:-1]) | (row[starts[1:]] != row[starts[:-1]])
     heads = np.flatnonzero(new)
-    # 48 bits: a chance meeting of two hashes only makes a candidate, which the match refutes.
-    return span_hash(s.prefix, place[heads], place[heads] + p.gram) >> np.uint64(16), row[starts[heads]], starts[heads], np.diff(np.append(heads, len(starts)))
+    # 38 bits, most of whose differences take three bytes: a chance meeting of two hashes only makes a candidate, which the match refutes.
+    return span_hash(s.prefix, place[heads], place[heads] + p.gram) >> np.uint64(26), row[starts[heads]], starts[heads], np.diff(np.append(heads, len(starts)))
 
 
 def _apart(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -155,58 +164,114 @@ def _batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) if not isinstance(c, pa.Array) else c for c, f in zip(columns, schema)], schema=schema)
 
 
-_HASHES = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("known", pa.int8())])
+_HASHES = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("first", pa.int64()), ("base", pa.int64()), ("width", pa.int8()), ("blob", pa.binary())])
 _REPEATED = pa.schema([("doc", pa.int64()), ("h", pa.int64())])
 _CONTEXTS = pa.schema([("h", pa.int64()), ("ctx", pa.binary()), ("doc", pa.int64()), ("at", pa.int64()), ("open", pa.int8())])
 _RANGES = pa.schema([("doc", pa.int64()), ("at", pa.int64())])
 
 
-def _report(p: Passages):
-    """Anchor hashes of each chunk, once each: known 0 for a single place, 2 where the chunk itself
-    holds several; of those, every document's pair follows as known 1."""
+def _bytes(values: np.ndarray, width: int) -> np.ndarray:
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+
+
+def _width(values: np.ndarray) -> int:
+    return max(1, -(-int(values.max(initial=0)).bit_length() // 8))
+
+
+def _packed(h: np.ndarray, doc: np.ndarray, several: np.ndarray, bucket: np.ndarray, stride: int, kind: int) -> pa.RecordBatch:
+    """A row per bucket: its hashes in order, as differences of h // stride and a bit for ``several``,
+    each with its document's distance from the smallest, in as few whole bytes as the batch needs."""
+    order = np.lexsort((h, bucket))
+    h, doc, several, bucket = h[order] // np.uint64(stride), doc[order], several[order], bucket[order]
+    head = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))[: len(h)]
+    gap = np.append(np.uint64(0), np.diff(h))[: len(h)]
+    gap[head] = 0
+    gap = gap * np.uint64(2) + several.astype(np.uint64)
+    base = int(doc.min(initial=0))
+    own = (doc - np.int64(base)).view(np.uint64)
+    wide = [_width(gap), _width(own)]
+    records = np.ascontiguousarray(np.concatenate([_bytes(gap, wide[0]), _bytes(own, wide[1])], axis=1))
+    ends = (np.append(head, len(h)) * records.shape[1]).astype(np.int32)
+    blobs = pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(ends), pa.py_buffer(records)])
+    n = len(head)
+    return _batch(_HASHES, bucket[head].astype(np.int32), np.full(n, kind, np.int8), h[head].astype(np.int64), np.full(n, base), np.full(n, wide[0] * 16 + wide[1], np.int8), blobs)
+
+
+def _hashes_of(row: dict, stride: int, rest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, documents and ``several`` of one packed row."""
+    a, b = divmod(row["width"], 16)
+    records = np.frombuffer(row["blob"], np.uint8).reshape(-1, a + b)
+    whole = np.zeros((2, len(records), 8), np.uint8)
+    whole[0, :, :a], whole[1, :, :b] = records[:, :a], records[:, a:]
+    gap, own = whole.view(np.uint64)[:, :, 0]
+    h = (np.cumsum(gap >> ONE) + np.uint64(row["first"])) * np.uint64(stride) + np.uint64(rest)
+    return h.view(np.int64), own.view(np.int64) + row["base"], gap & ONE > 0
+
+
+def _report(p: Passages, buckets: int):
+    """Anchor hashes, each once for the texts of about ANCHORS anchors, packed by bucket (h modulo
+    ``buckets``): kind 0 with a document that holds it, and whether these texts hold several places; of
+    the latter every document's pair follows as kind 1, in any bucket."""
+
+    def told(h: np.ndarray, doc: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((doc, h))
+        h, doc = h[order], doc[order]
+        head = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        size = np.diff(np.append(head, len(h)))
+        several = size > 1 if p.within else doc[head] != doc[head + size - 1]
+        yield _packed(h[head], doc[head], several, h[head] % np.uint64(buckets), buckets, 0)
+        pair = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])) & np.repeat(several, size)
+        if pair.any():
+            h, doc = h[pair], doc[pair]
+            yield _packed(h, doc, np.zeros(len(h), bool), mix(h ^ doc.astype(np.uint64)) % np.uint64(buckets), 1, 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(map(_apart, batches), "text"):
+        kept, held = [], 0
+        for part in slices(map(_apart, batches), "text", TEXT_BYTES):
             h, row, _, _ = anchors(symbols(part.column("text"), p.words), p)
-            doc = part.column("doc").to_numpy(zero_copy_only=False)[row]
-            order = np.lexsort((doc, h))
-            h, doc = h[order], doc[order]
             if not len(h):
                 continue
-            head = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-            size = np.diff(np.append(head, len(h)))
-            several = size > 1 if p.within else doc[head] != doc[head + size - 1]
-            yield _batch(_HASHES, h[head].view(np.int64), doc[head], several.astype(np.int8) * 2)
-            pair = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])) & np.repeat(several, size)
-            yield _batch(_HASHES, h[pair].view(np.int64), doc[pair], np.ones(int(pair.sum()), np.int8))
+            kept.append((h, part.column("doc").to_numpy(zero_copy_only=False)[row]))
+            held += len(h)
+            if held >= ANCHORS:
+                yield from told(*(np.concatenate(x) for x in zip(*kept)))
+                kept, held = [], 0
+        if kept:
+            yield from told(*(np.concatenate(x) for x in zip(*kept)))
 
     return run
 
 
-def _repeated(p: Passages):
-    """Pairs (document, hash) of the hashes seen in more than one place; rows come sorted by
-    (h, doc).  Between batches only the state of the last hash is kept."""
+def _repeated(p: Passages, buckets: int):
+    """Pairs (document, hash) of the hashes seen in more than one place; rows come sorted by bucket,
+    of which one is held at a time."""
+
+    def solved(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        h, doc, several = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((doc, h))
+        h, doc, several = h[order], doc[order], several[order]
+        head = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        size = np.diff(np.append(head, len(h)))
+        repeated = np.logical_or.reduceat(several, head) | ((size > 1) if p.within else (doc[head] != doc[head + size - 1]))
+        out = np.repeat(repeated, size) & ~several
+        if out.any():
+            yield _batch(_REPEATED, doc[out], h[out])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry = None  # hash, first document, whether it is repeated already
+        parts, last = [], None
         for batch in batches:
-            h, doc, known = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("h", "doc", "known"))
-            if (known == 1).any():
-                yield _batch(_REPEATED, doc[known == 1], h[known == 1])
-                h, doc, known = (x[known != 1] for x in (h, doc, known))
-            if not len(h):
-                continue
-            several, told = known == 2, known == 2
-            if carry is not None:
-                h, doc = np.append(carry[0], h), np.append(carry[1], doc)
-                several, told = np.append(carry[2], several), np.append(carry[2], told)
-            head = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-            size = np.diff(np.append(head, len(h)))
-            repeated = np.logical_or.reduceat(several, head) | ((size > 1) if p.within else (doc[head] != doc[head + size - 1]))
-            out = np.repeat(repeated, size) & ~told
-            if out.any():
-                yield _batch(_REPEATED, doc[out], h[out])
-            carry = (h[-1], doc[head[-1]], bool(repeated[-1]))
+            for row in batch.to_pylist():
+                if row["kind"] == 1:
+                    h, doc, _ = _hashes_of(row, 1, 0)
+                    yield _batch(_REPEATED, doc, h)
+                    continue
+                if row["bucket"] != last and parts:
+                    yield from solved(parts)
+                    parts = []
+                last = row["bucket"]
+                parts.append(_hashes_of(row, buckets, last))
+        if parts:
+            yield from solved(parts)
 
     return run
 
@@ -225,7 +290,7 @@ def _contexts(p: Passages):
     covered, which need no context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(map(_apart, batches), "text"):
+        for part in slices(map(_apart, batches), "text", TEXT_BYTES):
             s = symbols(part.column("text"), p.words)
             h, row, start, owned = anchors(s, p)
             wanted = part.column("hashes")
@@ -423,9 +488,10 @@ def _covered(marked: DataFrame, p: Passages) -> DataFrame:
     ``at`` packs the first window, the text's tag and the number of windows, see ``_pack``.
     """
     n = parts_for(marked)
-    hashes = marked.mapInArrow(_report(p), "h long, doc long, known byte")
-    hashes = hashes.repartition(n, F.when(F.col("known") == 1, F.xxhash64("doc", "h")).otherwise(F.col("h"))).sortWithinPartitions("h", "doc")
-    repeated = hashes.mapInArrow(_repeated(p), "doc long, h long").groupBy("doc").agg(F.collect_set("h").alias("hashes"))
+    buckets = n * BUCKETS
+    hashes = marked.mapInArrow(_report(p, buckets), "bucket int, kind byte, first long, base long, width byte, blob binary")
+    hashes = hashes.repartitionById(n, F.col("bucket") % n).sortWithinPartitions("bucket")
+    repeated = hashes.mapInArrow(_repeated(p, buckets), "doc long, h long").groupBy("doc").agg(F.collect_set("h").alias("hashes"))
     joined = marked.join(repeated.hint("shuffle_hash"), "doc", "left")
     contexts = joined.mapInArrow(_contexts(p), "h long, ctx binary, doc long, at long, open byte")
     met = contexts.repartition(n, "h").sortWithinPartitions("h", "ctx", "doc", "at").mapInArrow(_meet(p), contexts.schema)
@@ -437,7 +503,7 @@ def _cut(p: Passages, own: list[str]):
     """Each text's symbols without the covered ones: counts, removed runs, and what is kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", TEXT_BYTES):
             s = symbols(part.column("text"), p.words)
             n, total = part.num_rows, len(s.lo)
             spans = part.column("spans")

@@ -1,9 +1,12 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from panelweave.llm import fmindex, lpf, passages
+from panelweave.llm.lpf import BYTES
 
 from .brute import removed_bytes, removed_words
 
@@ -80,3 +83,29 @@ def test_edges(make, edge):
         assert by[None][0].n_removed == 0  # a row without an id takes no part
         assert [r.n_removed for r in by[7]] == [0, 0]  # one document, told by place
         assert run(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("low, high", [(0, 1), (-5, 300), (-(1 << 63), (1 << 63) - 1)])
+def test_packed_hashes_come_back(low, high):
+    rng = np.random.default_rng(11)
+    h = np.unique(rng.integers(0, 1 << 38, 5000, dtype=np.uint64))
+    doc, several = rng.integers(low, high, len(h), dtype=np.int64), rng.random(len(h)) < 0.1
+    rows = passages._packed(h, doc, several, h % np.uint64(24), 24, 0)
+    assert rows.get_total_buffer_size() < (13 if high > 300 else 6) * len(h) + 4000  # a row of three longs took 24 bytes for each
+    back = [np.concatenate(x) for x in zip(*(passages._hashes_of(r, 24, r["bucket"]) for r in rows.to_pylist()))]
+    order = np.argsort(back[0])
+    assert all((x[order] == y).all() for x, y in zip(back, (h.view(np.int64), doc, several)))
+
+
+def test_a_step_over_texts_stays_small():
+    """A worker's arrays for one step: about a hundred bytes for each byte of text."""
+    import tracemalloc
+
+    rng = np.random.default_rng(12)
+    texts = pa.array(["".join(rng.choice(list("abcdefgh "), 4000)) for _ in range(1500)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), texts, pa.array([False] * len(texts))], names=["doc", "text", "copy"])
+    tracemalloc.start()
+    told = list(passages._report(BYTES, 16)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(r.num_rows for r in told) and peak < 200e6
