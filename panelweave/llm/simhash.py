@@ -383,16 +383,23 @@ def _spanning(words: int, radius: int):
 
 
 def _shingle_sets(texts: DataFrame) -> DataFrame:
-    """(node, shingles) of texts (node, text): the sorted hashes of the distinct shingles."""
+    """(node, root, own, blocks, shingles) of texts (node, root, own, blocks, text): the sorted hashes of the
+    distinct shingles, once for a node's rows in a task."""
+    names = ["node", "root", "own", "blocks"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for part in slices(batches, "text", TEXT_BYTES):
+            node = part.column("node").to_pylist()
+            new = [k for k, x in enumerate(node) if x not in seen and not seen.add(x)]
+            if len(new) < len(node):
+                part = part.take(pa.array(new, pa.int64()))
             hashes, bounds = _distinct(*_shingle_hashes(part.column("text"), SHINGLE))
             raw = hashes.tobytes()
             sets = pa.array([raw[8 * a : 8 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("node"), sets], names=["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), sets], names=[*names, "shingles"])
 
-    return texts.mapInArrow(run, "node long, shingles binary")
+    return texts.select(*names, "text").mapInArrow(run, "node long, root long, own int, blocks int, shingles binary")
 
 
 def shared_shingles(sets: list[np.ndarray]) -> np.ndarray:
@@ -415,9 +422,8 @@ def shared_shingles(sets: list[np.ndarray]) -> np.ndarray:
 
 def _alike(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
     """A spanning forest (a, b) of the links of one or two blocks: sets whose Jaccard similarity is ALIKE or more."""
-    t = t.sort_by("node")
-    node = t.column("node").to_numpy()
-    sets = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("shingles")]
+    node, first = np.unique(t.column("node").to_numpy(), return_index=True)
+    sets = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("shingles").take(pa.array(first))]
     size = np.array([len(x) for x in sets])
     both = shared_shingles(sets)
     i, j = np.nonzero(np.triu(both >= ALIKE * (size[:, None] + size[None, :] - both) - 1e-6, 1))
@@ -457,13 +463,12 @@ def _near_rows(docs: DataFrame) -> DataFrame:
     weight = F.greatest(F.sum("size") * 8 / BLOCK_BYTES, F.count(F.lit(1)) / BLOCK_MEMBERS)
     groups = members.groupBy("root").agg(F.ceil(weight).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64(F.lit(5), "node"), F.col("blocks")).cast("int")
-    dealt = members.join(groups, "root").withColumn("own", own)
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = dealt.select("node", "root", "own", other.alias("other"))
-    tiles = dealt.select("node", F.struct("root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).alias("tile"))
-    texts = docs.select("doc_id", "text_hash", "text").join(members.select("node", "doc_id", "text_hash"), ["doc_id", "text_hash"])
-    sets = staged(_shingle_sets(texts.select("node", "text").dropDuplicates(["node"])), "shingles")
-    met = tiles.join(sets, "node").repartition(parts_for(rows), "tile").groupBy("tile").applyInArrow(_alike, "a long, b long")
+    placed = members.join(groups, "root").select("node", "root", own.alias("own"), "blocks", "doc_id", "text_hash")
+    # The texts move once, at any size, and their sets once to each tile that they are compared in.
+    texts = docs.select("doc_id", "text_hash", "text").join(placed.hint("shuffle_hash"), ["doc_id", "text_hash"])
+    dealt = _shingle_sets(texts).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tile = F.struct("root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).alias("tile")
+    met = dealt.select("node", tile, "shingles").repartition(parts_for(rows), "tile").groupBy("tile").applyInArrow(_alike, "a long, b long")
     roots = staged(components(met), "roots")
     return sketch.join(roots, "node", "left").select("doc_id", "text_hash", "node", F.coalesce("root", "node").alias("root"))
 

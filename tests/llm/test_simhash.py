@@ -202,3 +202,9 @@ def test_rows_of_one_id_are_decided_by_their_texts(make):
         same = [t for d, t in got if d == 7 and t != one]
         assert order is rows or same == first
         first = same
+
+
+def test_a_row_that_comes_twice_into_a_tile_links_to_others_alone():
+    sets = [np.arange(20, dtype=np.uint64), np.arange(1, 21, dtype=np.uint64), np.arange(50, 70, dtype=np.uint64)]
+    t = pa.table({"node": [3, 1, 2, 3], "shingles": [sets[0].tobytes(), sets[1].tobytes(), sets[2].tobytes(), sets[0].tobytes()]})
+    assert simhash._alike((), t).to_pylist() == [{"a": 3, "b": 1}]
